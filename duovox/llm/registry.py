@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, lines, media
+from duovox.llm import bpe, huffman, lines, media, packing
 from duovox.llm.common import table
 
 
@@ -15,6 +15,14 @@ def byte_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.shard_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -23,13 +31,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_tokenizer())
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_shards": op3_token_shards,
     "op4_line_dedup": op4_line_dedup,
     "op7_bpe": op7_bpe,
+    "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
 SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
