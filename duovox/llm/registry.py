@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, huffman, lines, media, packing
+from duovox.llm import bpe, huffman, lines, media, near, packing
 from duovox.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.link_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_tokenizer())
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": op3_token_shards,
     "op4_line_dedup": op4_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
