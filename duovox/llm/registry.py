@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, huffman, lines, media, near, packing
+from duovox.llm import bpe, huffman, lines, media, near, packing, quality, secrets, topk
 from duovox.llm.common import table
 
 
@@ -19,6 +19,14 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.shard_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
 
@@ -27,6 +35,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
 
@@ -44,11 +56,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_shards": op3_token_shards,
     "op4_line_dedup": op4_line_dedup,
+    "op5_top_k": op5_top_k,
     "op7_bpe": op7_bpe,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
-SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL}
