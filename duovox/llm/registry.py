@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, huffman, lines, media, near, packing, quality, secrets, topk
+from duovox.llm import bpe, huffman, lines, media, near, packing, pii, quality, secrets, topk
 from duovox.llm.common import table
 
 
@@ -39,6 +40,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"), byte_tokenizer())
 
@@ -55,15 +60,23 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_shards": op3_token_shards,
     "op4_line_dedup": op4_line_dedup,
     "op5_top_k": op5_top_k,
+    "op6_private_data": op6_private_data,
     "op7_bpe": op7_bpe,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
