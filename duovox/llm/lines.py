@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duovox.llm.common import text_or_empty
+from duovox.llm.common import stash, text_or_empty
 
 #: The white space that is stripped, and the letters whose case is ignored.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -42,14 +42,16 @@ def without_shared_lines(docs: DataFrame, least: int = 20, threshold: int = 3) -
     Other columns stay as they are.
 
     Plan: keys once for each document -> distinct count and largest id by key (partial sums on the map side, so
-    a line that a third of the documents hold is a few rows for each task) -> join of the shared keys to their
-    documents (which adaptive execution may split or broadcast, by measured size) -> hashes to drop by document ->
-    join to the texts, whose lines are put together again by position.
+    a line that a third of the documents hold is a few rows for each task) -> a table of the shared keys in the shared
+    folder -> join to their documents (both sides are plain exchanges then, so adaptive execution splits a hot
+    key, or broadcasts the keys if their measured size allows) -> hashes to drop by document -> join to the texts, whose
+    lines are put together again by position.
     """
     names = docs.columns
     ident = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     held = docs.select(ident.alias("_doc"), F.explode(F.array_distinct(F.array_compact(line_keys(text_or_empty(), least)))).alias("_key"))
-    shared = held.groupBy("_key").agg(F.countDistinct("_doc").alias("_n"), F.max("_doc").alias("_last")).where(F.col("_n") >= threshold).select("_key", "_last")
+    counts = held.groupBy("_key").agg(F.countDistinct("_doc").alias("_n"), F.max("_doc").alias("_last"))
+    shared = stash(counts.where(F.col("_n") >= threshold).select("_key", "_last"))
     drops = held.join(shared, "_key").where("_doc < _last").groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
     base = docs.select(*names, ident.alias("_doc")) if "_doc" not in names else docs.withColumn("_doc", ident)
     joined = base.join(drops, "_doc", "left")
