@@ -8,9 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,16 +73,5 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """mapInPandas with a function on one batch."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for frame in frames:
-            yield function(frame)
-
-    ready(df.sparkSession)
-    return df.mapInPandas(run, schema)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -39,7 +39,7 @@ def without_shared_lines(docs: DataFrame, least: int = 20, threshold: int = 3) -
     documents hold lose all their lines, except in the largest doc_id that holds them. Documents are told apart
     by doc_id: repeated rows of one id count once and are treated alike; rows with a null id form one document
     that comes before all others. A null text is empty: one line, none dropped, and stays null.
-    Other columns stay as they are.
+    Other columns stay as they are, but for n_lines and n_dropped, which are replaced.
 
     Plan: keys once for each document -> distinct count and largest id by key (partial sums on the map side, so
     a line that a third of the documents hold is a few rows for each task) -> a table of the shared keys in the shared
@@ -47,25 +47,24 @@ def without_shared_lines(docs: DataFrame, least: int = 20, threshold: int = 3) -
     key, or broadcasts the keys if their measured size allows) -> hashes to drop by document -> join to the texts, whose
     lines are put together again by position.
     """
-    names = docs.columns
-    ident = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    held = docs.select(ident.alias("_doc"), F.explode(F.array_distinct(F.array_compact(line_keys(text_or_empty(), least)))).alias("_key"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_doc"), text_or_empty().alias("_text"), F.struct(*names).alias("_row"))
+    keys = line_keys(F.col("_text"), least)
+    held = own.select("_doc", F.explode(F.array_distinct(F.array_compact(keys))).alias("_key"))
     counts = held.groupBy("_key").agg(F.countDistinct("_doc").alias("_n"), F.max("_doc").alias("_last"))
     shared = stash(counts.where(F.col("_n") >= threshold).select("_key", "_last"))
     drops = held.join(shared, "_key").where("_doc < _last").groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
-    base = docs.select(*names, ident.alias("_doc")) if "_doc" not in names else docs.withColumn("_doc", ident)
-    joined = base.join(drops, "_doc", "left")
-    lines = F.split(text_or_empty(), "\n", -1)
-    keys = line_keys(text_or_empty(), least)
+    joined = own.join(drops, "_doc", "left")
+    lines = F.split("_text", "\n", -1)
     stays = F.filter(
         F.arrays_zip(lines.alias("line"), keys.alias("key")),
         lambda x: x["key"].isNull() | ~F.array_contains(F.col("_drop"), F.coalesce(x["key"], F.lit(""))),
     )
     kept = F.when(F.col("_drop").isNotNull(), F.transform(stays, lambda x: x["line"]))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    return out.select(*names, "n_lines", "n_dropped")
+    out = joined.select("_row", kept.alias("_kept"), F.size(lines).cast("long").alias("n_lines"))
+    n_dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long")
+    text = F.when(F.col("_kept").isNull(), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))
+    return out.select(*[(text if c == "text" else F.col("_row")[c]).alias(c) for c in names], "n_lines", n_dropped.alias("n_dropped"))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def test_against_brute_force(spark):
 
 
 def test_text_and_columns_stay(spark):
+    clash = spark.createDataFrame([(1, LONG, "a", 7, [1])], "doc_id long, text string, _doc string, n_lines int, _key array<int>")
+    assert [tuple(r) for r in lines.without_shared_lines(clash).collect()] == [(1, LONG, "a", [1], 1, 0)]
     docs = spark.createDataFrame([(1, LONG, "en"), (2, f"a\n{LONG}\nb", "fr"), (3, LONG, None), (4, None, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in lines.without_shared_lines(docs).collect()}
     assert got[2].text == "a\nb" and got[2].lang == "fr" and got[3].text == LONG and got[1].text == "" and got[4].text is None and got[4].n_lines == 1
