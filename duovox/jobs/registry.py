@@ -435,3 +435,41 @@ def kmeans_volume(spark, sf_dir):
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", 4)
 def event_windows(spark, sf_dir):
     return windows.hourly(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query("pair_features", f"WITH {_V} SELECT t, count(*) AS n, round(avg(neutron / (xray + 1e-6)), 6) AS ratio, round(avg(neutron + xray), 3) AS total, round(avg(neutron - xray), 3) AS difference, round(avg(sqrt(neutron * neutron + xray * xray)), 3) AS magnitude FROM f GROUP BY t")
+def pair_features(spark, sf_dir):
+    rows = statistics.pair_features(paired_lineitem(spark, sf_dir)).groupBy("t")
+    out = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("ratio", "total", "difference", "magnitude")])
+    return out.select("t", "n", "ratio", *[F.round(c, 3).alias(c) for c in ("total", "difference", "magnitude")])
+
+
+_TREND = " UNION ALL ".join(f"SELECT t, '{n}' AS region, neutron, xray FROM f WHERE {p}" for n, p in (("low", _LOW), ("middle", _MIDDLE), ("high", _HIGH)))
+
+
+@query("region_trend", f"WITH {_V}, u AS ({_TREND}), a AS (SELECT t, count(*) AS total FROM f GROUP BY t), e AS (SELECT u.t, region, count(*) AS n, count(*) / any_value(total) AS fraction, avg(neutron) AS nm, avg(xray) AS xm FROM u JOIN a ON a.t = u.t GROUP BY u.t, region) SELECT t, region, n, round(fraction, 4) AS fraction, round(fraction / first(fraction) OVER (PARTITION BY region ORDER BY t), 4) AS relative, round(nm, 4) AS neutron_mean, round(xm, 4) AS xray_mean FROM e", 4)
+def region_trend(spark, sf_dir):
+    return statistics.region_trend(paired_lineitem(spark, sf_dir), REGIONS)
+
+
+@query("metrics_long", f"WITH {_CM}, w AS (SELECT t, class_id, n::DOUBLE AS n, round(centroid_n, 3) AS centroid_n, round(centroid_x, 3) AS centroid_x FROM e) UNPIVOT w ON n, centroid_n, centroid_x INTO NAME metric VALUE value", 3)
+def metrics_long(spark, sf_dir):
+    wide = materials.class_metrics(paired_lineitem(spark, sf_dir), REGIONS).select("t", "class_id", "n", "centroid_n", "centroid_x")
+    return statistics.long_metrics(wide, ["t", "class_id"])
+
+
+@query("quantile_bands", f"WITH {_V} SELECT t, round(quantile_cont(xray, 0.16), 4) AS low, round(quantile_cont(xray, 0.5), 4) AS middle, round(quantile_cont(xray, 0.84), 4) AS high FROM v GROUP BY t", 4)
+def quantile_bands(spark, sf_dir):
+    return statistics.quantile_bands(paired_lineitem(spark, sf_dir), "t", "xray")
+
+
+@query("block_counts", f"WITH {_G}, m AS (SELECT max(z) + 1 AS nz FROM g), b AS (SELECT (least(z * 5 // nz, 4) * 5 + least(y * 5 // 20, 4)) * 5 + least(x * 5 // 20, 4) AS block FROM g, m) SELECT block::INTEGER AS block, count(*) AS n FROM b GROUP BY block")
+def block_counts(spark, sf_dir):
+    cells = grid_events(spark, sf_dir)
+    slabs = cells.agg(F.max("z")).first()[0] + 1
+    return spatial.block_ids(cells, (slabs, 20, 20)).groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query("mask_disagreement", f"WITH {_G}, u AS (SELECT t, z, y, x, xray >= 50 AS a, neutron >= 35 AS b, ((xray >= 50) <> (neutron >= 35))::INTEGER AS un FROM g), d AS (SELECT *, un = 1 AND coalesce(lag(un) OVER w, 1) = 1 AND coalesce(lead(un) OVER w, 1) = 1 AS deep FROM u WINDOW w AS (PARTITION BY t, z, y ORDER BY x)) SELECT t, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (b AND NOT a) AS only_second, count(*) FILTER (deep) AS deep, round(count(*) FILTER (a AND b) / count(*) FILTER (a OR b), 6) AS jaccard FROM d GROUP BY t")
+def mask_disagreement(spark, sf_dir):
+    return spatial.disagreement(grid_events(spark, sf_dir), F.col("xray") >= 50, F.col("neutron") >= 35)

@@ -172,3 +172,19 @@ def icm(cells: DataFrame, unaries: list[str], beta: float, sweeps: int = 5, slab
         return out[f["own"] == f["slab"]]
 
     return rows.groupBy("t", "slab").applyInPandas(run, "t int, z int, y int, x int, label int")
+
+
+def block_ids(cells: DataFrame, shape: tuple[int, int, int], grid: tuple[int, int, int] = (5, 5, 5)) -> DataFrame:
+    """cells with block: contiguous boxes of near equal edges, for validation by blocks."""
+    index = [F.least(F.floor(F.col(a) * g / n), F.lit(g - 1)).cast("int") for a, n, g in zip(AXES, shape, grid)]
+    return cells.withColumn("block", (index[0] * grid[1] + index[1]) * grid[2] + index[2])
+
+
+def disagreement(cells: DataFrame, first: Column, second: Column) -> DataFrame:
+    """t, both, only_first, only_second, jaccard of two masks (null where both are empty), and how many unlike cells have only unlike face neighbours along x."""
+    rows = cells.select("t", *AXES, first.alias("a"), second.alias("b")).withColumn("unlike", (F.col("a") != F.col("b")).cast("int"))
+    order = Window.partitionBy("t", "z", "y").orderBy("x")
+    near = [F.when(shift("x").over(order) == F.col("x") + d, shift("unlike").over(order)) for shift, d in ((F.lag, -1), (F.lead, 1))]
+    rows = rows.withColumn("deep", (F.col("unlike") == 1) & (F.coalesce(near[0], F.lit(1)) == 1) & (F.coalesce(near[1], F.lit(1)) == 1))
+    out = rows.groupBy("t").agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_first"), F.count_if(~F.col("a") & F.col("b")).alias("only_second"), F.count_if("deep").alias("deep"))
+    return out.withColumn("jaccard", F.try_divide(F.col("both"), F.col("both") + F.col("only_first") + F.col("only_second")))

@@ -125,3 +125,32 @@ def with_total(cells: DataFrame) -> DataFrame:
     """scope, t, n, neutron_mean: a row for each t and one over all, by one rollup."""
     rows = cells.where(both_finite()).rollup("t").agg(F.count("*").alias("n"), F.avg("neutron").alias("neutron_mean"), F.grouping("t").alias("g"))
     return rows.select(F.when(F.col("g") == 1, "global").otherwise("timepoint").alias("scope"), F.coalesce("t", F.lit(-1)).alias("t"), "n", "neutron_mean")
+
+
+def pair_features(cells: DataFrame) -> DataFrame:
+    """cells with ratio, total, difference and magnitude of the pair; 0 where a feature isn't finite."""
+    n, x = F.col("neutron"), F.col("xray")
+    made = {"ratio": F.try_divide(n, x + 1e-6), "total": n + x, "difference": n - x, "magnitude": F.hypot(n, x)}
+    return cells.withColumns({k: F.when(is_finite(v), v).otherwise(0.0) for k, v in made.items()})
+
+
+def region_trend(cells: DataFrame, regions: list[Region]) -> DataFrame:
+    """t, region, n, fraction of the timepoint's finite pairs, its ratio to the region's first timepoint, and the centroid."""
+    rows = cells.where(both_finite())
+    hits = F.explode(F.array_compact(F.array(*[F.when(r.holds(), r.name) for r in segmentable(regions)])))
+    each = rows.where(in_any(regions)).select("t", "neutron", "xray", hits.alias("region")).groupBy("t", "region").agg(F.count("*").alias("n"), F.avg("neutron").alias("neutron_mean"), F.avg("xray").alias("xray_mean"))
+    share = each.join(rows.groupBy("t").agg(F.count("*").alias("all")), "t").withColumn("fraction", F.col("n") / F.col("all"))
+    first = F.first("fraction").over(Window.partitionBy("region").orderBy("t"))
+    return share.select("t", "region", "n", "fraction", (F.col("fraction") / first).alias("relative"), "neutron_mean", "xray_mean")
+
+
+def long_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, value: one row for each metric of a wide table."""
+    rest = [c for c in metrics.columns if c not in keys]
+    return metrics.select(*keys, *[F.col(c).cast("double").alias(c) for c in rest]).unpivot(keys, rest, "metric", "value")
+
+
+def quantile_bands(values: DataFrame, by: str, value: str, quantiles: tuple[float, float] = (0.16, 0.84)) -> DataFrame:
+    """by, low, middle, high of a value."""
+    q = F.percentile(value, F.array(F.lit(quantiles[0]), F.lit(0.5), F.lit(quantiles[1])))
+    return values.groupBy(by).agg(q.alias("q")).select(by, *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))])
