@@ -6,19 +6,21 @@ fills. Documents stop after the round that fills their last bin. Agreement of tw
 the Jaccard similarity as for independent minima.
 
 Bands of ROWS coordinates make candidates: with 40 bands of 4, a pair at similarity 0.75 is missed with
-probability (1 - 0.75^4)^40 = 3e-7. Within a bucket candidates are compared with a few pivots rather than with each
-other, until all members are known to be connected or have been compared; links are confirmed on the full sets.
+probability (1 - 0.75^4)^40 = 3e-7. All members of a bucket are compared with one pivot; what that leaves unconnected
+meets in blocks of sketches, where a pair needs AGREE equal coordinates (at similarity 0.75 fewer have a
+probability of 2e-7). Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duovox.llm.common import forget, ready, shared_folder, stash, text_or_empty
@@ -27,9 +29,12 @@ WORDS = 5
 BANDS, ROWS = 40, 4
 COORDINATES = BANDS * ROWS
 PERCENT = 75
-#: Pivots that a bucket gets in each round after the first.
-PIVOTS = 16
-#: In the first round a bucket's pivot is its least member in one of so many orders, chosen by band.
+#: Equal coordinates, of COORDINATES, below which a pair isn't worth an exact comparison: 0.75 of them less 5 standard deviations.
+AGREE = 92
+#: Members that are compared at once; and the largest cluster whose full sets are copied to each of its blocks.
+BLOCK = 256
+LARGE = 20_000
+#: A bucket's pivot is its least member in one of so many orders, chosen by band.
 ORDERS = 4
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEPS = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -105,21 +110,23 @@ def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set (null if empty) and band keys of each row."""
+    """doc_id, set size, 128-bit fingerprint of the set (null if empty), band keys, and 16 bits of each coordinate, for each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for f in frames:
             sets = [shingle_set(t, hashes, words) for t in f["text"]]
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(sketches(full)) if full else ())
-            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(keys)) if len(s) else (0, None, None) for s in sets]
-            out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "bands"])
+            made = sketches(full) if full else ()
+            both = iter(zip(band_keys(made), mix(made).astype("<u2")) if full else ())
+            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *next(both)) if len(s) else (0, None, None, None) for s in sets]
+            out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "bands", "sketch"])
+            out["sketch"] = [None if x is None else x.tobytes() for x in out["sketch"]]
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
 
     ready(docs.sparkSession)
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -143,6 +150,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, ok boolean")
 
 
+def with_blocks(members: DataFrame) -> DataFrame:
+    """members (key, rep, root) with the number of blocks of their key."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return members.join(sizes, "key")
+
+
+def agreeing(members: DataFrame, agree: int, percent: int | None = None) -> DataFrame:
+    """Distinct pairs a < b of members (key, rep, root, blocks, sketch) of one key, of different roots, whose sketches agree enough.
+
+    With percent, members have their full sets (shingles) too, and only pairs that are similar come out, fewer still
+    where pairs before have already connected two roots. A key's members are dealt into blocks by hash, and every two
+    blocks meet as one group of 2 x BLOCK rows or so: however large a key is, no task holds it whole, and pairs that don't agree
+    aren't rows.
+    """
+    more = ["shingles"] if percent else []
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    each = members.select("key", "rep", "root", "sketch", *more, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = each.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root", "sketch", *more)
+
+    def compare(f: pd.DataFrame) -> list[tuple[int, int]]:
+        own, rep, root = (f[c].to_numpy() for c in ("own", "rep", "root"))
+        low, high, root = f["low"].iloc[0], f["high"].iloc[0], root.copy()
+        data = np.frombuffer(b"".join(f["sketch"]), "<u2").reshape(len(rep), -1)
+        sets = f["shingles"].tolist() if percent else None
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        out = []
+        for i in left:
+            to = right[right > i] if low == high else right
+            to = to[root[to] != root[i]]
+            if not len(to):
+                continue
+            for j in to[(data[to] == data[i]).sum(axis=1) >= agree]:
+                if sets:
+                    if root[i] == root[j] or not similar(sets[i], sets[j], percent):
+                        continue
+                    root[root == root[j]] = root[i]
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, names = None, ["key", "low", "high"]
+        for f in chain(frames, [None]):
+            if f is not None and not len(f):
+                continue
+            held = rest if f is None else f if rest is None else pd.concat([rest, f])
+            if held is None or not len(held):
+                return
+            ids = held[names].to_numpy()
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1)]
+            if f is None:
+                cuts.append(len(held))
+            pairs = [p for x, y in zip(cuts, cuts[1:]) if y - x > 1 for p in compare(held.iloc[x:y])]
+            rest = held.iloc[cuts[-1] :]
+            yield pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
+
+    order = ["key", "low", "high"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long").distinct()
+
+
 class Scratch:
     """Tables in the shared folder, deleted together with the names that no later plan reads."""
 
@@ -189,17 +255,17 @@ def merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataF
     return scratch.keep(moved.union(fresh))[0]
 
 
-def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
     Documents without words (null texts too) have no shingles and are their own components. Rows with a null doc_id link with
     nothing: component_id is null and kept true. Repeated rows of one id are one document. Other columns are ignored.
 
-    Equal sets first become classes with their least doc_id as representative, so copies cost one row each. Buckets
-    of band keys with two representatives or more are worked off in rounds: every member is compared with pivots, confirmed
-    pairs are merged into components, and members of buckets that still span several components meet further pivots
-    from the smaller ones, at most PIVOTS in a round. A pivot that has met all members outside its component leaves the bucket.
-    So no link is lost to the pivots, and the pairs of a round grow with the bucket, not its square.
+    Equal sets first become classes with their least doc_id as representative, so copies cost one row each. In each bucket
+    of band keys with two representatives or more, all members are compared with the bucket's pivot, and confirmed pairs
+    are merged into components. Where the other members of a bucket still span several components, they meet in
+    blocks, and pairs of different components whose sketches agree enough are compared in full, within the task. Clusters of more than LARGE
+    such members are compared bucket by bucket instead, with their sets joined to the pairs that agree.
     """
     spark = ready(docs.sparkSession)
     scratch = Scratch(spark)
@@ -219,26 +285,31 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     least = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "turn"), "rep")).alias("least"))
     spent, _ = scratch.keep(least.select("key", F.col("least.rep").alias("pivot")))
     pairs = members.join(spent, "key").where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    tested = roots = None
-    while True:
-        done, _ = scratch.keep(confirmed(pairs, sets, percent))
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        roots = merged(roots, done.where("ok").select("a", "b"), scratch)
-        root = roots.withColumnRenamed("node", "rep")
-        flag = spent.select("key", F.col("pivot").alias("rep"), F.lit(True).alias("over"))
-        state = members.select("key", "rep").join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        fresh = state.join(flag, ["key", "rep"], "left").withColumn("fresh", F.when(F.col("over").isNull(), F.col("rep")))
-        each = fresh.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("fresh").alias("pivot"))
-        # the largest component of a bucket needs no pivot: all others meet it
-        bucket = Window.partitionBy("key")
-        each = each.withColumn("large", F.row_number().over(bucket.orderBy(F.desc("n"), "root"))).where("large > 1 AND pivot IS NOT NULL")
-        each = each.withColumn("place", F.row_number().over(bucket.orderBy("n", "root"))).where(F.col("place") <= PIVOTS)
-        chosen, _ = scratch.keep(each.select("key", "root", "pivot"))
-        if not chosen.limit(1).count():
-            break
-        met = state.select("key", "rep", F.col("root").alias("own")).join(chosen, "key").where("own != root")
-        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        spent = spent.union(chosen.select("key", "pivot"))
+    done, _ = scratch.keep(confirmed(pairs, sets, percent))
+    roots = merged(None, done.where("ok").select("a", "b"), scratch)
+    # every pair with a pivot is settled; the other members meet each other where several components are left among them
+    others = members.join(spent, "key").where("rep != pivot").select("key", "rep").distinct()
+    state = others.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    state, _ = scratch.keep(state)
+    open_, _ = scratch.keep(state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"))
+    still, _ = scratch.keep(state.join(open_, "key"))
+    # members of these buckets that chains of buckets connect: each meets the others of its cluster once, full sets at hand
+    hubs = still.groupBy("key").agg(F.min("rep").alias("hub"))
+    clusters = components(still.join(hubs, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a != b").distinct(), scratch)
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    sized, _ = scratch.keep(clusters.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("key"), "n"))
+    coded, _ = scratch.keep(signed.select(F.col("doc_id").alias("rep"), "sketch").join(sized.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
+    small = with_blocks(sized.where(F.col("n") <= LARGE).select("key", "rep").join(still.select("rep", "root").distinct(), "rep"))
+    full = small.join(coded, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    found, _ = scratch.keep(agreeing(full, agree, percent))
+    roots = merged(roots, found, scratch)
+    large = sized.where(F.col("n") > LARGE).select("rep")
+    if large.limit(1).count():
+        # clusters too large to copy full sets from block to block: only sketches meet, bucket by bucket, and pairs that agree are joined to their sets
+        held = with_blocks(still.join(large, "rep", "left_semi").select("key", "rep", "root")).join(coded, "rep")
+        pairs = agreeing(held, agree).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        further, _ = scratch.keep(confirmed(pairs, sets, percent))
+        roots = merged(roots, further.where("ok").select("a", "b"), scratch)
     forget(spark, sets_at)
     named = roots.select(F.col("node").alias("rep"), "root")
     groups, _ = scratch.keep(classes.join(named, "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id")))

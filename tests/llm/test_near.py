@@ -48,7 +48,9 @@ def test_components_against_brute_force(spark, seed):
     assert sorted([tuple(r) for r in near.link_components(docs).collect()], key=str) == brute(rows)
 
 
-def test_chains_need_further_pivots(spark):
+@pytest.mark.parametrize("large", [0, 20_000])
+def test_chains_need_further_pivots(spark, monkeypatch, large):
+    monkeypatch.setattr(near, "LARGE", large)
     # a chain: neighbours are similar, distant members aren't, so one pivot for each bucket can't connect it
     words = [f"c{k}" for k in range(700)]
     rows = [(100 - k, " ".join(words[30 * k : 30 * k + 400])) for k in range(11)]
@@ -84,3 +86,17 @@ def test_sketch_agreement_is_near_the_similarity():
 def test_every_coordinate_fills():
     s = near.sketches([np.array([7], np.uint64), np.array([7, 9], np.uint64)])
     assert (s < np.iinfo(np.uint64).max).all()
+
+
+def test_blocks_give_every_pair_that_agrees(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for key in range(3):
+        data = rng.integers(0, 2, (40, 12)).astype("<u2")
+        for i in range(40):
+            rows.append((key, 100 * key + i, 100 * key + i % 9, data[i].tobytes()))
+            want |= {(100 * key + j, 100 * key + i) for j in range(i) if j % 9 != i % 9 and (data[i] == data[j]).sum() >= 9}
+    members = spark.createDataFrame(rows, "key long, rep long, root long, sketch binary")
+    got = [tuple(r) for r in near.agreeing(near.with_blocks(members.repartition(5)), 9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
