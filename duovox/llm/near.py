@@ -224,23 +224,29 @@ class Scratch:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root for each node of links (a, b): root is the least node of its component.
 
-    Labels go to neighbours, then to the label's own label, until none changes; each round is a table in the shared folder.
-    A hub's rows meet partial minima, or joins that adaptive execution splits.
+    Each round hooks every node to its least neighbour, then to that node's own, and contracts the links by these names:
+    what falls together is gone from the next round, so rounds shrink fast. Each is a table in the shared folder.
+    A hub's links meet partial minima, or joins that adaptive execution splits.
     """
-    both, at = scratch.keep(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels, old = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
+    edges, at = scratch.keep(ordered(links, "a", "b"))
+    roots = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new, path = scratch.keep(step.join(jump, "mid").select("node", "was", F.least("mid", "far").alias("root")))
-        changed = new.where("root != was").limit(1).count()
-        labels = new.select("node", "root")
-        forget(scratch.spark, old)
-        old = path
-        if not changed:
-            forget(scratch.spark, at)
-            return labels
+        hook = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("up"))
+        jump, jump_at = scratch.keep(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"))
+        if roots is None:
+            roots, roots_at = scratch.keep(jump.select("node", F.col("top").alias("root")))
+        else:
+            old = roots_at
+            named = roots.join(jump.select(F.col("node").alias("root"), "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            roots, roots_at = scratch.keep(named)
+            forget(scratch.spark, old)
+        top = lambda c: jump.select(F.col("node").alias(c), F.col("top").alias(f"t{c}"))
+        left, left_at = scratch.keep(ordered(edges.join(top("a"), "a").join(top("b"), "b"), "ta", "tb"))
+        forget(scratch.spark, at, jump_at)
+        edges, at = left, left_at
+        if not edges.limit(1).count():
+            return roots
 
 
 def merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
