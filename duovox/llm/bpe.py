@@ -15,7 +15,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from duovox.llm.chunks import SPACE, Cache, spaced_chunks
+from duovox.llm.chunks import AS_IS, SPACE, Cache, literal, spaced_chunks
 from duovox.llm.common import ready, text_or_empty
 
 #: The byte-level split pattern (fixed values), with white space as Unicode has it.
@@ -101,7 +101,7 @@ class ByteBPE:
 
     def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, str]]:
         """Each chunk's ids as little-endian 32-bit words, and as decimals that each end with a comma."""
-        cut = [self._pieces(c) for c in chunks]
+        cut = [self._pieces(literal(c)) for c in chunks]
         words = list({p for pieces in cut for p in pieces if isinstance(p, str)})
         ids = dict(zip(words, self.merge_words([w.encode("utf-8", "replace") for w in words]))) if words else {}
         out = []
@@ -112,11 +112,8 @@ class ByteBPE:
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, str]]:
         """For each text: its ids, and the ids in decimal joined by commas."""
-        cut = [([t] if t else []) if self.whole else spaced_chunks(t) for t in texts]
-        self.cache.fill(cut)
-        for chunks in cut:
-            got = [*map(self.cache.__getitem__, chunks)]
-            yield np.frombuffer(b"".join([g[0] for g in got]), "<u4"), "".join([g[1] for g in got])[:-1]
+        for row in self.cache.lookup([([AS_IS + t] if t else []) if self.whole else spaced_chunks(t) for t in texts]):
+            yield np.frombuffer(b"".join([g[0] for g in row]), "<u4"), "".join([g[1] for g in row])[:-1]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; broken UTF-8 becomes U+FFFD, unknown ids nothing."""

@@ -9,36 +9,48 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-#: White space other than the space and the line end, and controls that Python's isspace() counts though Unicode doesn't.
-ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: The mark of a key that is its chunk's whole text.
+AS_IS = "\0"
+#: The mark, white space other than the space and the line end, and controls that Python's isspace() counts though Unicode doesn't.
+ODD_ASCII = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_tail = re.compile(r"(?s)(.*[A-Za-z])([.,!?;:]+)")
 
 
 def spaced_chunks(text: str) -> list[str]:
-    """Chunks whose encodings, joined, are the encoding of text; '' gives none."""
+    """Keys of chunks whose encodings, joined, are the encoding of text; '' gives none. literal() gives a key's text."""
     if not text:
         return []
     if any(c in text for c in ODD_ASCII) or any(s in text for s in ("  ", "\n\n", " \n", "\n ")) or (not text.isascii() and any(c in text for c in ODD_WIDE)):
-        return _chunk.findall(text)
-    # single spaces and line ends only: the quick way; a piece stands for ' ' + piece unless it starts with a line end
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [w if w[:1] == "\n" else f" {w}" for w in rest] if not first else [first, *[w if w[:1] == "\n" else f" {w}" for w in rest]]
+        return [AS_IS + c for c in _chunk.findall(text)]
+    # single spaces and line ends only: the quick way
+    keys = text.replace("\n", " \n").split(" ")
+    if keys[0]:
+        keys[0] = AS_IS + keys[0]
+    else:
+        del keys[0]
+    return keys
+
+
+def literal(key: str) -> str:
+    """The text of a chunk's key: most chunks start with a space, which their keys leave out."""
+    return key[1:] if key[:1] == AS_IS else key if key[:1] == "\n" else f" {key}"
 
 
 def word_chunks(text: str) -> list[str]:
-    """Runs of visible characters, for tokenizers that drop white space; a text with \\x1c-\\x1f stays whole."""
+    """Runs of visible characters, for tokenizers that drop white space and case; a text with \\x1c-\\x1f stays whole.
+
+    Plain ASCII is lower-cased here, which more chunks then share, unless it could turn into a special token.
+    """
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return [text]
-    return text.split()
+    return (text.lower() if text.isascii() and "<|" not in text else text).split()
 
 
-def halves(chunk: str) -> tuple[str, str]:
-    """A chunk without its closing punctuation, and that punctuation: the patterns always cut between them."""
-    m = _tail.fullmatch(chunk)
-    return m.groups() if m else (chunk, "")
+def plain_letters(word: str) -> bool:
+    """Whether a word is letters only, of the Latin blocks below U+0250, none of which changes in number by case or normal form."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and "\u0149" not in word))
 
 
 class Cache(dict):
@@ -48,15 +60,17 @@ class Cache(dict):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def fill(self, texts: Iterable[list[str]]) -> None:
-        """Encode whatever of these chunk lists isn't known, in one call."""
+    def lookup(self, texts: Iterable[list[str]]) -> list[list]:
+        """The encodings of each chunk list; chunks that aren't known yet are encoded in one call."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        wanted = set().union(*texts).difference(self)
-        old = self.old
-        if old:
+        rows = [[*map(self.get, chunks)] for chunks in texts]
+        wanted = {c for chunks, row in zip(texts, rows) if not all(row) for c, e in zip(chunks, row) if e is None}
+        if wanted:
+            old = self.old
             self.update((w, old[w]) for w in wanted if w in old)
-            wanted.difference_update(old)
-        missing = list(wanted)
-        self.update(zip(missing, self.encode(missing)))
+            missing = [*wanted.difference(old)] if old else [*wanted]
+            self.update(zip(missing, self.encode(missing)))
+            rows = [row if all(row) else [self[c] if e is None else e for c, e in zip(chunks, row)] for chunks, row in zip(texts, rows)]
+        return rows

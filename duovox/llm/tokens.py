@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-from duovox.llm.chunks import Cache, halves, spaced_chunks, word_chunks
+from duovox.llm.bpe import byte_letters
+from duovox.llm.chunks import AS_IS, Cache, literal, plain_letters, spaced_chunks, word_chunks
 
 
 class LibraryEncoder:
     """Encodes whole texts as tokenizers.Tokenizer.encode(text, add_special_tokens=False) does, without truncation or padding.
 
     Texts are cut where the file's split pattern always cuts, by spaced_chunks (byte-level patterns) or word_chunks
-    (patterns that drop white space), chosen by the file's pre-tokenizer. The library encodes each new chunk.
+    (patterns that drop white space), chosen by the file's pre-tokenizer. The library encodes each new chunk; words
+    of Latin letters, which every such pattern keeps whole, go straight to the library's merge model.
     """
 
-    def __init__(self, source: str, cache: int = 400_000):
+    def __init__(self, source: str, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -27,26 +30,50 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         kinds = json.dumps(spec["pre_tokenizer"])
-        drops = '"Removed"' in kinds and spec["pre_tokenizer"]["type"] == "Sequence"
-        self.cut: Callable[[str], list[str]] = word_chunks if drops else spaced_chunks
+        self.drops = '"Removed"' in kinds and spec["pre_tokenizer"]["type"] == "Sequence"
+        self.cut: Callable[[str], list[str]] = word_chunks if self.drops else spaced_chunks
+        self.model, self.letters = self.library.model, {b: c for c, b in byte_letters().items()}
+        self.space = self.letters[32]
+        self.newline = array("I", self.library.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.tails = {c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
         if any(any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
-            self.cut = lambda text: [text] if text else []
+            self.cut = lambda text: [text if self.drops else AS_IS + text] if text else []
         self.cache = Cache(self._encode_chunks, cache)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [halves(c) for c in chunks]
-        known, old = self.cache, self.cache.old
-        parts = {p for pair in cut for p in pair}.difference(known)
-        known.update((p, old[p]) for p in parts if p in old)
-        parts = [p for p in parts if p not in known]
-        for p, e in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [known[core] + known[tail] for core, tail in cut]
+    def _encode_word(self, word: str, spaced: bool) -> bytes | None:
+        """A word of plain letters, after a space or not; None for anything else."""
+        if word.isascii() and word.isalpha():
+            spelled = word.lower() if self.drops else word
+        elif plain_letters(word):
+            spelled = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
+        else:
+            return None
+        return array("I", [t.id for t in self.model.tokenize(self.space + spelled if spaced else spelled)]).tobytes()
+
+    def _encode_chunks(self, keys: list[str]) -> list[bytes]:
+        """A closing stop or comma after a letter is encoded apart, so that its word is looked up like any other."""
+        known, old, out, rest = self.cache, self.cache.old, [], []
+        for at, key in enumerate(keys):
+            tail = self.tails.get(key[-1:])
+            core = key[:-1] if tail and plain_letters(key[-2:-1]) else key
+            found = (known.get(core) or old.get(core)) if core is not key else None
+            if found is None:
+                if core[:1] == "\n":
+                    found = self._encode_word(core[1:], False)
+                    found = found and self.newline + found
+                else:
+                    found = self._encode_word(core, not self.drops)
+                if found is None:
+                    rest.append(at)
+                elif core is not key:
+                    known[core] = found
+            out.append(found if found is None or core is key else found + tail)
+        texts = [keys[at] if self.drops else literal(keys[at]) for at in rest]
+        for at, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            out[at] = array("I", e.ids).tobytes()
+        return out
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, little-endian 32-bit."""
-        cut = [self.cut(t) for t in texts]
-        self.cache.fill(cut)
-        get = self.cache.__getitem__
-        for chunks in cut:
-            yield np.frombuffer(b"".join(map(get, chunks)), "<u4")
+        for row in self.cache.lookup([self.cut(t) for t in texts]):
+            yield np.frombuffer(b"".join(row), "<u4")
