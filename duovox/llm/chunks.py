@@ -66,11 +66,14 @@ class Cache(dict):
             self.old = dict(self)
             self.clear()
         rows = [[*map(self.get, chunks)] for chunks in texts]
-        wanted = {c for chunks, row in zip(texts, rows) if not all(row) for c, e in zip(chunks, row) if e is None}
+        gaps = [[] if all(row) else [k for k, e in enumerate(row) if e is None] for row in rows]
+        wanted = {chunks[k] for chunks, gap in zip(texts, gaps) for k in gap}
         if wanted:
             old = self.old
             self.update((w, old[w]) for w in wanted if w in old)
             missing = [*wanted.difference(old)] if old else [*wanted]
             self.update(zip(missing, self.encode(missing)))
-            rows = [row if all(row) else [self[c] if e is None else e for c, e in zip(chunks, row)] for chunks, row in zip(texts, rows)]
+            for chunks, row, gap in zip(texts, rows, gaps):
+                for k in gap:
+                    row[k] = self[chunks[k]]
         return rows

@@ -21,7 +21,7 @@ from duovox.llm.tokens import LibraryEncoder
 
 STEP = 128
 LIMIT = 18
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 24
 BLOCK_TYPE = "file int, block int, first_id long, doc_ids array<long>, counts array<int>, code binary, marks binary"
 

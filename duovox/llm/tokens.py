@@ -21,7 +21,7 @@ class LibraryEncoder:
     of Latin letters, which every such pattern keeps whole, go straight to the library's merge model.
     """
 
-    def __init__(self, source: str, cache: int = 600_000):
+    def __init__(self, source: str, cache: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
