@@ -128,8 +128,8 @@ def with_features(df: DataFrame, *keep: str) -> DataFrame:
     return df.mapInPandas(run, f"{kinds}, bins array<int>")
 
 
-def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0) -> Model:
-    """Fit on rows (doc_id, text, label 0 or 1).
+def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: DataFrame | None = None) -> Model:
+    """Fit on rows (doc_id, text, label 0 or 1). docs, if given, has the same texts by doc_id and spares a second join of all texts to labels.
 
     Log-count ratios come from all rows: each task sums its counts, and at most 2 x 2^BITS sums reach the driver. The linear model
     is fitted on a bounded sample: of each label the `sample` / 2 rows with the least hashed doc_id. Scores are calibrated
@@ -160,10 +160,12 @@ def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0) -> Model:
         return Model(np.zeros(SIZE), np.zeros(SIZE + 1), 1.0, b)
     p = counts + smooth
     ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
-    picked = None
+    ids = None
     for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("doc_id", "label", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        picked = part if picked is None else picked.union(part)
+        part = labelled.where(F.col("label") == label).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
+        ids = part if ids is None else ids.union(part)
+    texts = (labelled if docs is None else docs).select("doc_id", text_or_empty().alias("text"))
+    picked = texts.join(F.broadcast(ids.distinct()), "doc_id")  # at most `sample` ids
     data = with_features(picked, "label").toArrow()
     order = np.argsort([xxhash.xxh3_64_intdigest(np.asarray(b.values).tobytes()) for b in data["bins"]], kind="stable")
     bins = [np.asarray(data["bins"][int(i)].values) for i in order]
@@ -207,7 +209,7 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs. Repeated rows and null ids (not held out) pass through; other columns are ignored."""
-    model = fit(training_rows(docs, labels))
+    model = fit(training_rows(docs, labels), docs=docs)
     scored = with_score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -217,4 +219,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = "_score"
     while score in docs.columns:
         score += "_"
-    return with_score(docs, fit(training_rows(docs, labels)), score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
+    return with_score(docs, fit(training_rows(docs, labels), docs=docs), score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
