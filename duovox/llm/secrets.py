@@ -20,8 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGNED = 6
 KINDS = ["assign", "access", "hex", "markov"]
-#: Candidates of the models: runs of 16 or more with a letter and a digit at least.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+#: Candidates of the models: runs of 16 or more with a letter at least. Runs of digits and signs alone are numbers and rules to the models.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
 SYMBOLS = 66
 SCALE = 1000
@@ -100,11 +100,10 @@ def train(samples: DataFrame) -> list[int]:
 
 
 def ratio(string: Column, model: list[int]) -> Column:
-    """A string's log-likelihood ratio in thousandths; its characters are ASCII."""
+    """A string's log-likelihood ratio in thousandths; its characters are ASCII. One walk over the characters, so long runs cost no more than their length."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folds into one literal
-    code = lambda i: F.ascii(F.substring(string, i, 1))
-    value = lambda i: F.get(table, F.when(i > 1, code(F.greatest(i - 1, F.lit(1)))).otherwise(0) * 128 + code(i))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(string)), F.lit(0), lambda acc, i: acc + value(i))
+    step = lambda acc, c: F.struct((acc["sum"] + F.get(table, acc["last"] * 128 + F.ascii(c))).alias("sum"), F.ascii(c).alias("last"))
+    return F.aggregate(F.split(string, ""), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), step, lambda acc: acc["sum"])
 
 
 def with_secrets(docs: DataFrame, model: list[int], least: float = 5.0) -> DataFrame:

@@ -58,6 +58,21 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert sum(bool(got[i]) for i in range(100, 200)) <= 2
 
 
+def test_secrets_of_letters_alone(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice(["th", "er", "in", "tion", "re", "an", "ou", "st", "ble"]) for _ in range(8)) for _ in range(400)]
+    model = secrets.model_of(frame(spark, [" ".join(rnd.sample(words, 30)) for _ in range(200)]))
+    # held out, as above; half of the secrets have no digit
+    secret = ["".join(rnd.choice(string.ascii_letters + string.digits * (i % 2)) for _ in range(16 + i % 17)) for i in range(100)]
+    names = ["".join(rnd.choice(["ther", "tion", "ble", "rean", "st"]) for _ in range(6)) for _ in range(100)]
+    test = frame(spark, [f"see {s} now" for s in secret + names] + ["x" * 200_000])
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r._markov] for r in secrets.with_secrets(test, model).collect()}
+    whole = [got[i] == [(4, 4 + len(s))] for i, s in enumerate(secret)]
+    assert sum(not re.search("[0-9]", s) for s in secret) >= 50 and sum(whole) >= 90
+    assert sum(w for w, s in zip(whole, secret) if not re.search("[0-9]", s)) >= 45
+    assert sum(bool(got[i]) for i in range(100, 200)) <= 2
+
+
 def test_model_against_plain_counting(spark):
     import math
 
