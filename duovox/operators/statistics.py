@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Region, both_finite, in_any, is_finite, segmentable
+from duovox.operators.quantiles import exact_quantiles, meet
 
 
 def channel_stats() -> list[Column]:
@@ -70,21 +71,26 @@ def acquisition_steps(report: DataFrame, tolerance: float = 0.02) -> DataFrame:
 def auto_floor(cells: DataFrame, quantile: float = 0.001, sigma: float = 3.0) -> DataFrame:
     """channel, floor: a low quantile less sigma robust deviations, in two passes: quantiles, then those of the distances to the median."""
     rows = cells.where(both_finite()).select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in ("neutron", "xray")])).alias("s")).select("s.*")
-    first = rows.groupBy("channel").agg(F.percentile("v", F.array(F.lit(quantile), F.lit(0.5))).alias("q"))
+    first = exact_quantiles(rows, ["channel"], "v", [quantile, 0.5])
     marks = {r["channel"]: r["q"] for r in first.collect()}  # two rows
     if not marks:
         return first.select("channel", F.lit(None).cast("double").alias("floor"))
     middle = F.when(F.col("channel") == "neutron", marks["neutron"][1]).otherwise(marks["xray"][1])
     low = F.when(F.col("channel") == "neutron", marks["neutron"][0]).otherwise(marks["xray"][0])
-    spread = rows.groupBy("channel").agg(F.percentile(F.abs(F.col("v") - middle), 0.5).alias("mad"))
-    return spread.select("channel", (low - sigma * 1.4826 * F.col("mad")).alias("floor"))
+    spread = exact_quantiles(rows.select("channel", F.abs(F.col("v") - middle).alias("v")), ["channel"], "v", [0.5])
+    return spread.select("channel", (low - sigma * 1.4826 * F.col("q")[0]).alias("floor"))
 
 
 def axial_profile(cells: DataFrame, axis: str = "z", statistic: str = "mean") -> DataFrame:
     """axis, n and a mean or median with the deviation for each slice, over finite pairs."""
-    middle = F.avg if statistic == "mean" else F.median
-    rows = cells.where(both_finite()).groupBy(axis)
-    return rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("neutron", "xray") for name, f in ((statistic, middle), ("std", F.stddev_pop))])
+    rows = cells.where(both_finite())
+    out = rows.groupBy(axis).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("neutron", "xray") for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    if statistic == "mean":
+        return out
+    both = rows.select(axis, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in ("neutron", "xray")])).alias("s")).select(axis, "s.*")
+    middle = exact_quantiles(both, [axis, "channel"], "v", [0.5]).groupBy(axis)
+    medians = middle.agg(*[F.max(F.when(F.col("channel") == c, F.col("q")[0])).alias(f"{c}_{statistic}") for c in ("neutron", "xray")])
+    return meet(out, medians, [axis]).select(axis, "n", *[f"{c}_{name}" for c in ("neutron", "xray") for name in (statistic, "std")])
 
 
 def in_box(z: tuple[int, int], y: tuple[int, int], x: tuple[int, int]) -> Column:
@@ -152,5 +158,4 @@ def long_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantile_bands(values: DataFrame, by: str, value: str, quantiles: tuple[float, float] = (0.16, 0.84)) -> DataFrame:
     """by, low, middle, high of a value."""
-    q = F.percentile(value, F.array(F.lit(quantiles[0]), F.lit(0.5), F.lit(quantiles[1])))
-    return values.groupBy(by).agg(q.alias("q")).select(by, *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))])
+    return exact_quantiles(values, [by], value, [quantiles[0], 0.5, quantiles[1]]).select(by, *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, Region, bin_of, class_of, in_any, in_polygon
-from duovox.operators import clusters, histograms, materials, spatial, statistics
+from duovox.operators import clusters, histograms, materials, quantiles, spatial, statistics
 
 NAN, INF = float("nan"), float("inf")
 
@@ -187,6 +187,29 @@ def test_blocks_leave_out_partial_ones(spark):
     assert len(got) == 3 * 4 * 5 and got[1, 2, 3] == np.median(array[2:4, 4:6, 6:8])
 
 
+def test_quantiles_are_exact_without_a_map_of_values(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    groups = {0: rng.lognormal(0, 5, 3001), 1: rng.integers(0, 4, 1000).astype(float), 2: [7.5], 3: [-INF, -1.0, 2.0, INF], 4: [None, None], None: rng.normal(0, 1, 500)}
+    rows = spark.createDataFrame([(t, None if v is None else float(v), 0.0) for t, vs in groups.items() for v in vs], "t int, neutron double, xray double").repartition(5)
+    want = {r.t: list(r.q) if r.q else None for r in rows.groupBy("t").agg(F.percentile("neutron", F.array(F.lit(0.0), F.lit(0.16), F.lit(0.5), F.lit(1.0))).alias("q")).collect()}
+    for most in (1, 40, 10**6):  # the least cuts again and again
+        got = {r.t: list(r.q) if r.q else None for r in quantiles.exact_quantiles(rows, ["t"], "neutron", [0.0, 0.16, 0.5, 1.0], most).collect()}
+        assert got == want
+    assert quantiles.exact_quantiles(rows.limit(0), ["t"], "neutron", [0.5]).collect() == []
+    some = rows.where("t < 2 AND neutron IS NOT NULL").withColumn("z", F.col("t"))
+    profile = {r.z: r.neutron_median for r in statistics.axial_profile(some, "z", "median").collect()}
+    assert profile == {t: np.median(groups[t]) for t in (0, 1)}
+
+    def never(*_):
+        raise AssertionError("a map of all distinct values of a group")
+
+    for name in ("percentile", "median"):
+        monkeypatch.setattr(F, name, never)
+    statistics.auto_floor(some).collect()
+    statistics.axial_profile(some, "z", "median").collect()
+    statistics.quantile_bands(some, "t", "neutron").collect()
+
+
 def test_clusters_of_a_series(spark):
     rng = np.random.default_rng(7)
     rows = [(t, float(a), float(b)) for t in (0, 1) for c in ((0, 0), (50, 50)) for a, b in rng.normal(c, 1, (40, 2))]
