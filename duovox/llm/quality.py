@@ -132,7 +132,7 @@ def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: Data
     """Fit on rows (doc_id, text, label 0 or 1). docs, if given, has the same texts by doc_id and spares a second join of all texts to labels.
 
     Log-count ratios come from all rows: each task sums its counts, and at most 2 x 2^BITS sums reach the driver. The linear model
-    is fitted on a bounded sample: of each label the `sample` / 2 rows with the least hashed doc_id. Scores are calibrated
+    is fitted on a bounded sample: of each label the `sample` / 2 ids with the least hashed doc_id, with the least text where rows repeat an id. Scores are calibrated
     on two halves, each by the other's model, at the labels' shares in all rows. Without rows of both labels all scores are that of
     the label that there is, or 0.5 without any.
     """
@@ -162,10 +162,10 @@ def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: Data
     ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
     ids = None
     for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
+        part = labelled.where(F.col("label") == label).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         ids = part if ids is None else ids.union(part)
     texts = (labelled if docs is None else docs).select("doc_id", text_or_empty().alias("text"))
-    picked = texts.join(F.broadcast(ids.distinct()), "doc_id")  # at most `sample` ids
+    picked = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `sample` rows, however often an id repeats
     data = with_features(picked, "label").toArrow()
     order = np.argsort([xxhash.xxh3_64_intdigest(np.asarray(b.values).tobytes()) for b in data["bins"]], kind="stable")
     bins = [np.asarray(data["bins"][int(i)].values) for i in order]

@@ -64,6 +64,22 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text"] and 100 < kept.count() < 205
 
 
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    rnd, sizes, features = random.Random(4), [], quality.with_features
+    rows = [(i, (prose if i % 2 else junk)(rnd, 20), i % 2) for i in range(60)]
+    rows += [(i, "copied words here", i % 2) for i in (1, 2) for _ in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+
+    def noted(df, *more):
+        sizes.append((df.count(), df.select("doc_id").distinct().count()))
+        return features(df, *more)
+
+    monkeypatch.setattr(quality, "with_features", noted)
+    quality.fit(labelled, sample=20)
+    quality.fit(labelled, sample=2000)
+    assert sizes == [(20, 20), (60, 60)]
+
+
 def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
