@@ -28,9 +28,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of least doc_id, of each group of near duplicates. A document without words is a group of its own."""
-    groups = near.link_components(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").union(docs.join(groups, "doc_id", "left_semi"))
+    """One row, of least doc_id, of each group of near duplicates. A document without words is a group of its own.
+
+    Rows that repeat a doc_id are one document: the least row of a kept id stays. Rows with a null doc_id are compared with each
+    other as exact texts only, and the least row of each text stays (all rows of texts without words).
+    """
+    kept = near.link_components(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    once, many = (docs.join(kept.where(f"n {sign} 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns) for sign in "=>")
+    words = F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0b\f]"), F.lit(False))
+    no_id = docs.where("doc_id IS NULL")
+    return no_id.where(~words).union(least_row(no_id.where(words), "text")).union(once).union(least_row(many, "doc_id"))
+
+
+def least_row(docs: DataFrame, key: str) -> DataFrame:
+    """One row for each key, with partial minima on the map side."""
+    rest = [c for c in docs.columns if c != key]
+    return docs.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c == key else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

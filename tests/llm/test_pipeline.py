@@ -79,6 +79,16 @@ def test_each_stage_against_brute_force(spark, folder, tmp_path):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).where("n > 2048 OR n != e").count() == 0
 
 
+def test_near_stage_keeps_one_row_of_a_document(spark, folder):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(30)) for name in "abc")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (2, a, "x"), (3, b, "x"), (None, c, "y"), (None, c, "x"), (None, b, "x"), (None, "", "x"), (None, "", "x"), (None, None, "x"), (4, None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = pipeline.near_stage(spark, docs, folder)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+    assert got == sorted([(1, a, "w"), (3, b, "x"), (4, None, "x"), (None, c, "x"), (None, b, "x"), (None, "", "x"), (None, "", "x"), (None, None, "x")], key=str)
+
+
 def test_run_gives_the_last_stage(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
