@@ -417,12 +417,14 @@ def region_grow(spark, sf_dir):
 
 @query("mrf_icm")
 def mrf_icm(spark, sf_dir):
+    """Cells by label after smoothing with one beta for all pairs of unlike labels; edge weights and the pairwise matrix are left out."""
     cells = grid_events(spark, sf_dir).withColumns({f"u{k}": F.abs(F.col("xray") - centre) / 33 for k, centre in enumerate((17.0, 50.0, 83.0))})
     return spatial.icm(cells, ["u0", "u1", "u2"], 0.2).groupBy("t", "z", "label").agg(F.count("*").alias("n"))
 
 
 @query("kmeans_series")
 def kmeans_series(spark, sf_dir):
+    """Clusters of the whole series; transient islands, which the reference excludes first by default, are left out of the job and stay in the data."""
     cells, grid = lineitem_grid(spark, sf_dir)
     return clusters.cluster_series(cells, grid, 4)
 
