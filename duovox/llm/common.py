@@ -8,14 +8,16 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import duovox
 
-#: Rows of an Arrow batch that goes to a Python worker: long texts make the default of 10,000 too large.
-BATCH_ROWS = 500
+#: Bounds of an Arrow batch that goes to a Python worker, unless the session sets its own: long texts make the default too large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _shipped: set[str] = set()
 
 
@@ -27,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def ready(spark: SparkSession) -> SparkSession:
     """Make this package importable on executors and bound the batches sent to Python.
 
-    The package goes out once for each application, as a zip of its sources.
+    The package goes out once for each application, as a zip of its sources. Bounds that the user has set stay.
     """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
@@ -43,17 +45,21 @@ def ready(spark: SparkSession) -> SparkSession:
                         full = os.path.join(at, n)
                         z.write(full, os.path.join("duovox", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, local runs) a temporary folder takes its place.
+    Only where the setting is absent on a local master (tests) a temporary folder takes its place; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/duovox-{uuid.uuid4().hex}"
@@ -73,5 +79,15 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def batch_udf(run: Callable, returns: str, columns: int = 1) -> Callable[..., Column]:
+    """A pandas UDF over an iterator of batches; several columns come as tuples. Returns of several fields are data frames.
+
+    Ids stay beside it in the JVM: pandas would turn whole numbers next to a null into doubles, which damages those beyond 2^53.
+    """
+    out = pd.DataFrame if "," in returns.split("<")[0] or " " in returns.split("<")[0] else pd.Series
+    run.__annotations__ = {"parts": Iterator[pd.Series if columns == 1 else tuple[(pd.Series,) * columns]], "return": Iterator[out]}
+    return F.pandas_udf(run, returns)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

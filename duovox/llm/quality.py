@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duovox.llm.common import ready, text_or_empty
+from duovox.llm.common import batch_udf, ready, stash, text_or_empty
 
 BITS = 17
 SIZE = 1 << BITS
 SHAPES = 1 << 12
 REPEAT = SHAPES - 1
 THRESHOLD = 0.3
+#: Labelled documents that a classifier learns from at most, half of each label: a bound on what is broadcast and collected.
+LEARNED = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _upper, _lower, _digit, _runs = re.compile(r"[^\W\d_]+"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"([^aA0])\1+")
 
@@ -128,11 +130,11 @@ def with_features(df: DataFrame, *keep: str) -> DataFrame:
     return df.mapInPandas(run, f"{kinds}, bins array<int>")
 
 
-def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: DataFrame | None = None) -> Model:
-    """Fit on rows (doc_id, text, label 0 or 1). docs, if given, has the same texts by doc_id and spares a second join of all texts to labels.
+def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0) -> Model:
+    """Fit on rows (doc_id, text, label 0 or 1), one for each id and label.
 
-    Log-count ratios come from all rows: each task sums its counts, and at most 2 x 2^BITS sums reach the driver. The linear model
-    is fitted on a bounded sample: of each label the `sample` / 2 ids with the least hashed doc_id, with the least text where rows repeat an id. Scores are calibrated
+    Log-count ratios come from all of them: each task sums its counts, and at most 2 x 2^BITS sums reach the driver. The linear model
+    is fitted on a bounded sample: of each label the `sample` / 2 ids with the least hashed doc_id. Scores are calibrated
     on two halves, each by the other's model, at the labels' shares in all rows. Without rows of both labels all scores are that of
     the label that there is, or 0.5 without any.
     """
@@ -160,13 +162,11 @@ def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: Data
         return Model(np.zeros(SIZE), np.zeros(SIZE + 1), 1.0, b)
     p = counts + smooth
     ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
-    ids = None
+    picked = None
     for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        ids = part if ids is None else ids.union(part)
-    texts = (labelled if docs is None else docs).select("doc_id", text_or_empty().alias("text"))
-    picked = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `sample` rows, however often an id repeats
-    data = with_features(picked, "label").toArrow()
+        part = labelled.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
+        picked = part if picked is None else picked.union(part)
+    data = with_features(picked.select("text", "label"), "label").toArrow()
     order = np.argsort([xxhash.xxh3_64_intdigest(np.asarray(b.values).tobytes()) for b in data["bins"]], kind="stable")
     bins = [np.asarray(data["bins"][int(i)].values) for i in order]
     y = np.where(data["label"].to_numpy()[order] == 1, 1.0, -1.0)
@@ -184,10 +184,23 @@ def fit(labelled: DataFrame, sample: int = 4000, smooth: float = 1.0, docs: Data
     return Model(ratio, descend(bins, y, even, ratio), a, b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of the documents that may be learned from: those with a label whose crc32(doc_id as text) mod 5 is not 0."""
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id")
+def training_ids(labels: DataFrame, learned: int) -> DataFrame:
+    """doc_id, label of the documents to learn from: those with a label 0 or 1 whose crc32(doc_id as text) mod 5 is not 0; of
+    each label the `learned` / 2 ids with the least hashed doc_id."""
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    parts = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(learned // 2) for k in (0, 1)]
+    return parts[0].union(parts[1])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, learned: int = LEARNED) -> DataFrame:
+    """doc_id, text, label of at most `learned` documents, as a table in the shared folder; where rows repeat an id, the least text.
+
+    The ids come from the narrow labels alone. Their number bounds what is broadcast, so the texts stay where they are
+    read, and only the chosen ones are shuffled and written.
+    """
+    ids = training_ids(labels, learned)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    return stash(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
 
 def held_out(ident: str = "doc_id"):
@@ -203,13 +216,16 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
         for texts in parts:
             yield pd.Series(model.score([features(t, codes) for t in texts]), dtype="float64")
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(score, F.pandas_udf(run, "double")(text_or_empty()))
+    return docs.withColumn(score, batch_udf(run, "double")(text_or_empty()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs. Repeated rows and null ids (not held out) pass through; other columns are ignored."""
-    model = fit(training_rows(docs, labels), docs=docs)
+    """doc_id, held_out, score, predicted of each row of docs.
+
+    Null and empty texts get a score too; long texts are read whole. Repeated rows and null ids (not held out) pass through;
+    other columns are ignored; an empty table gives no rows, and without labels all scores are 0.5.
+    """
+    model = fit(training_rows(docs, labels))
     scored = with_score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -219,4 +235,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = "_score"
     while score in docs.columns:
         score += "_"
-    return with_score(docs, fit(training_rows(docs, labels), docs=docs), score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
+    return with_score(docs, fit(training_rows(docs, labels)), score).where(F.col(score) >= THRESHOLD).select(*docs.columns)

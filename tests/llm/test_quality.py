@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -64,20 +65,37 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text"] and 100 < kept.count() < 205
 
 
-def test_sample_is_bounded_in_rows(spark, monkeypatch):
-    rnd, sizes, features = random.Random(4), [], quality.with_features
-    rows = [(i, (prose if i % 2 else junk)(rnd, 20), i % 2) for i in range(60)]
-    rows += [(i, "copied words here", i % 2) for i in (1, 2) for _ in range(300)]
-    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
-
-    def noted(df, *more):
-        sizes.append((df.count(), df.select("doc_id").distinct().count()))
-        return features(df, *more)
-
-    monkeypatch.setattr(quality, "with_features", noted)
-    quality.fit(labelled, sample=20)
-    quality.fit(labelled, sample=2000)
-    assert sizes == [(20, 20), (60, 60)]
+def test_sample_is_bounded_in_rows(spark):
+    rnd = random.Random(4)
+    rows = [(i, (prose if i % 2 else junk)(rnd, 20)) for i in range(1, 60)] + [(i, "copied words here") for i in (1, 2) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] * 2, "doc_id long, quality int")
+    known = {i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5}
+    for bound in (20, 2000):
+        got = quality.training_rows(docs, labels, bound).collect()
+        assert len(got) == len({r.doc_id for r in got}) == min(bound, len(known)) and {r.doc_id for r in got} <= known
+        assert {r.text for r in got if r.doc_id in (1, 2)} <= {min(t for j, t in rows if j == i) for i in (1, 2)}
+
+
+def test_scores_against_a_plain_computation(spark):
+    rows = corpus(6, 80)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.fit(quality.training_rows(docs, labels))
+    codes, used = quality.WordCodes(), [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    sets = {i: set(quality.features(t, codes).tolist()) for i, t, _ in rows}
+    total = [quality.SIZE + sum(len(sets[i]) for i, _, q in used if q == k) for k in (0, 1)]
+
+    def ratio(b):
+        n = [1 + sum(b in sets[i] for i, _, q in used if q == k) for k in (0, 1)]
+        return math.log(n[1] / total[1]) - math.log(n[0] / total[0])
+
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for i, grams in sets.items():
+        x = {b: ratio(b) for b in grams}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        margin = sum(float(model.weights[b]) * v / length for b, v in x.items()) + float(model.weights[-1])
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.a * margin + model.b)))) < 1e-4
 
 
 def test_descent_reaches_the_optimum():
