@@ -53,27 +53,25 @@ def plain_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and "\u0149" not in word))
 
 
-class Cache(dict):
+class Cache:
     """Encodings by chunk, in two generations: once the young one is full it becomes the old one, so memory stays bounded."""
 
     def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
+        self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
 
     def lookup(self, texts: Iterable[list[str]]) -> list[list]:
         """The encodings of each chunk list; chunks that aren't known yet are encoded in one call."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        rows = [[*map(self.get, chunks)] for chunks in texts]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        rows = [[*map(young.get, chunks)] for chunks in texts]
         gaps = [[] if all(row) else [k for k, e in enumerate(row) if e is None] for row in rows]
         wanted = {chunks[k] for chunks, gap in zip(texts, gaps) for k in gap}
         if wanted:
-            old = self.old
-            self.update((w, old[w]) for w in wanted if w in old)
+            young.update((w, old[w]) for w in wanted if w in old)
             missing = [*wanted.difference(old)] if old else [*wanted]
-            self.update(zip(missing, self.encode(missing)))
+            young.update(zip(missing, self.encode(missing)))
             for chunks, row, gap in zip(texts, rows, gaps):
                 for k in gap:
-                    row[k] = self[chunks[k]]
+                    row[k] = young[chunks[k]]
         return rows

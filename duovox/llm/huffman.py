@@ -8,21 +8,23 @@ next bits, reads all stretches side by side. One code book, from the counts of t
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duovox.llm.common import forget, ready, shared_folder, stash, text_or_empty
-from duovox.llm.tokens import LibraryEncoder
+from duovox.llm.common import batch_udf, forget, ready, shared_folder, stash, text_or_empty
+from duovox.llm.tokens import library_encoder
 
 STEP = 128
 LIMIT = 18
 BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 24
+#: Ids drawn for each file to set the files' bounds.
+SAMPLES = 100
 BLOCK_TYPE = "file int, block int, first_id long, doc_ids array<long>, counts array<int>, code binary, marks binary"
 
 
@@ -129,13 +131,13 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id and ids (packed 16- or 32-bit words, by the vocabulary's size) for each row, end id last."""
     model = ready(docs.sparkSession).sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = LibraryEncoder(model.value)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = library_encoder(model.value)
         kind = word_type(encoder.library.get_vocab_size())
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "ids": [np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in encoder.encode_batch(f["text"])]})
+        for texts in parts:
+            yield pd.Series([np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in encoder.encode_batch(texts)], dtype=object)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), batch_udf(run, "binary")(text_or_empty()).alias("ids"))
 
 
 def word_type(vocabulary: int) -> str:
@@ -157,11 +159,28 @@ def id_counts(tokens: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     return out
 
 
+def file_bounds(tokens: DataFrame, files: int, total: int, width: int) -> np.ndarray:
+    """Ascending doc_ids that end all files but the last, so that files have about the same number of ids.
+
+    Every (total / files / SAMPLES)th id or so is drawn, evenly and by hash, and its document noted: about SAMPLES rows of 8 bytes for
+    each file reach the driver, however many documents there are.
+    """
+    share = F.octet_length("ids") / F.lit(width * total / (files * SAMPLES)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = tokens.select(sort_id().alias("at"), F.floor(share).cast("int").alias("n")).where("n > 0")
+    held = np.sort(drawn.select("at", F.explode(F.sequence(F.lit(1), "n"))).select("at").toArrow()["at"].to_numpy())
+    return np.unique(held[np.linspace(0, len(held) - 1, files + 1).astype(np.int64)[1:-1]]) if len(held) else held
+
+
+def sort_id() -> Column:
+    """doc_id with null as the least number."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, limit: int = LIMIT, file_ids: int = FILE_IDS) -> None:
     """Write path/blocks (files in ascending doc_id; about file_ids ids each) and path/codebook (id, bits).
 
     The ids are encoded once and kept in a scratch table, since coding needs the counts of all of them. What is shuffled is the
-    code, by ranges of doc_id whose bounds are quantiles of the ids (no document is larger than its own task can hold).
+    code, by ranges of doc_id that hold about the same number of ids (no document is larger than its own task can hold).
     Null ids come first; rows of one id lie side by side.
     """
     from tokenizers import Tokenizer
@@ -169,28 +188,29 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, li
     spark = ready(docs.sparkSession)
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     kind = word_type(vocabulary)
+    width = np.dtype(kind).itemsize
     scratch = shared_folder(spark)
     tokens = stash(token_table(docs, tokenizer, end_id), scratch)
     counts = id_counts(tokens, kind, vocabulary)
     lengths = code_lengths(counts, limit)
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "bits": lengths[lengths > 0].astype(int)})
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    files = max(1, -(-int(counts.sum()) // file_ids))
-    bounds = tokens.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)] or [0.5], 10_000)).first()[0] or []
-    shared = spark.sparkContext.broadcast((lengths, np.array(bounds if files > 1 else [], np.int64)))
+    total = int(counts.sum())
+    files = max(1, -(-total // file_ids))
+    bounds = file_bounds(tokens, files, total, width) if files > 1 else np.empty(0, np.int64)
+    shared = spark.sparkContext.broadcast((lengths, bounds))
 
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         lengths, bounds = shared.value
         codes = canonical_codes(lengths)
-        for f in frames:
-            sizes = np.array([len(i) for i in f["ids"]], np.int64) // np.dtype(kind).itemsize
-            data, cuts, marks = encode(np.frombuffer(b"".join(f["ids"]), kind), sizes, lengths, codes)
+        for doc, ids in parts:
+            sizes = np.array([len(i) for i in ids], np.int64) // width
+            data, cuts, marks = encode(np.frombuffer(b"".join(ids), kind), sizes, lengths, codes)
             lanes = np.cumsum(-(-sizes // STEP))
             own = np.split((marks - np.repeat(cuts[:-1] * 8, -(-sizes // STEP))).astype("<u4"), lanes[:-1])
-            null = f["doc_id"].isna()
             yield pd.DataFrame({
-                "file": np.where(null, 0, np.searchsorted(bounds, f["doc_id"].fillna(0).to_numpy(np.int64))).astype(np.int32),
-                "doc_id": f["doc_id"], "n": sizes.astype(np.int32), "code": [data[a:b] for a, b in zip(cuts, cuts[1:])], "marks": [m.tobytes() for m in own],
+                "file": np.searchsorted(bounds, doc.to_numpy(np.int64)).astype(np.int32), "n": sizes.astype(np.int32),
+                "code": [data[a:b] for a, b in zip(cuts, cuts[1:])], "marks": [m.tobytes() for m in own],
             })
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,8 +226,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, li
 
         for f in frames:
             rows = []
-            for doc, n, data, own in zip(f["doc_id"], f["n"], f["code"], f["marks"]):
-                docs_.append(None if pd.isna(doc) else int(doc))
+            for doc, no_id, n, data, own in zip(f["doc_id"], f["no_id"], f["n"], f["code"], f["marks"]):
+                docs_.append(None if no_id else int(doc))
                 sizes.append(n)
                 parts.append(data)
                 marks.append((np.frombuffer(own, "<u4") + np.uint32(at * 8)).tobytes())
@@ -219,8 +239,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, li
         if docs_:
             yield pd.DataFrame([close()], columns=["file", "block", "first_id", "doc_ids", "counts", "code", "marks"])
 
-    coded = tokens.mapInPandas(code, "file int, doc_id long, n int, code binary, marks binary")
-    ordered = coded.repartitionById(files, F.col("file")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    coded = batch_udf(code, "file int, n int, code binary, marks binary", 2)(sort_id(), F.col("ids"))
+    rows = tokens.select(sort_id().alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), coded.alias("_out")).select("doc_id", "no_id", "_out.*")
+    ordered = rows.repartitionById(files, F.col("file")).sortWithinPartitions(F.desc("no_id"), "doc_id")
     ordered.drop("file").mapInPandas(blocks, BLOCK_TYPE).write.option("compression", "none").parquet(f"{path}/blocks")
     forget(spark, scratch)
 
@@ -241,28 +262,41 @@ def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, Decoder, dic
     return blocks, Decoder(lengths), before
 
 
+def by_document(blocks: DataFrame, columns: str, read: Callable[..., tuple]) -> DataFrame:
+    """One row for each document: doc_id, and the items of the lists that read(file, first_id, counts, code, marks) gives for its block."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(parts: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file, first, counts, code, marks in zip(*part):
+                rows.append(read(file, first, np.asarray(counts, np.int64), code, marks))
+            yield pd.DataFrame(rows, columns=names)
+
+    typed = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in columns.split(", "))
+    out = batch_udf(run, typed, 5)("file", "first_id", "counts", "code", "marks")
+    lists = blocks.select("doc_ids", out.alias("_out"))
+    return lists.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), *[F.col(f"_out.{n}").alias(n) for n in names])))
+
+
 def shard_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids of each document in the shards."""
     blocks, decoder, before = read_shards(spark, path)
     shared = spark.sparkContext.broadcast((decoder, before))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(file, first, counts, code, marks):
         decoder, before = shared.value
-        for f in frames:
-            for r in f.itertuples():
-                counts = np.asarray(r.counts, np.int64)
-                ids = decoder.block(r.code, counts, r.marks)
-                start = before[r.file] + r.first_id + np.cumsum(counts) - counts
-                yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": start, "ids": [i.astype(np.int32) for i in np.split(ids, np.cumsum(counts)[:-1])]})
+        ends = np.cumsum(counts)
+        return before[file] + first + ends - counts, np.split(decoder.block(code, counts, marks).astype(np.int32), ends[:-1])
 
-    return blocks.mapInPandas(run, "doc_id long, start long, ids array<int>")
+    return by_document(blocks, "start long, ids array<int>", read)
 
 
 def shard_digest(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Write shards and read them back: doc_id, start, n_tokens and ids_crc32 of each document, from the files.
 
-    Null texts are empty and have the end id alone. Null ids come before all others. Repeated rows are written each, in
-    any order among themselves. Other columns are ignored; an empty table gives a file without blocks and no rows.
+    Null texts are empty and have the end id alone; long texts are coded whole. Null ids come before all others. Repeated rows are
+    written each, in any order among themselves. Other columns are ignored; an empty table gives a file without blocks and no rows.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark)
@@ -270,14 +304,10 @@ def shard_digest(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     blocks, decoder, before = read_shards(spark, path)
     shared = spark.sparkContext.broadcast((decoder, before))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(file, first, counts, code, marks):
         decoder, before = shared.value
-        for f in frames:
-            for r in f.itertuples():
-                counts = np.asarray(r.counts, np.int64)
-                ends = np.cumsum(counts)
-                data = memoryview(decoder.block(r.code, counts, r.marks).astype("<u4").tobytes())
-                crc = [zlib.crc32(data[4 * (e - c) : 4 * e]) for c, e in zip(counts, ends)]
-                yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": before[r.file] + r.first_id + ends - counts, "n_tokens": counts, "ids_crc32": crc})
-
-    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        ends = np.cumsum(counts)
+        data = memoryview(decoder.block(code, counts, marks).astype("<u4").tobytes())
+        return before[file] + first + ends - counts, counts, [zlib.crc32(data[4 * (e - c) : 4 * e]) for c, e in zip(counts, ends)]
+
+    return by_document(blocks, "start long, n_tokens long, ids_crc32 long", read)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from array import array
@@ -21,7 +22,7 @@ class LibraryEncoder:
     of Latin letters, which every such pattern keeps whole, go straight to the library's merge model.
     """
 
-    def __init__(self, source: str, cache: int = 900_000):
+    def __init__(self, source: str, cache: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,34 +41,37 @@ class LibraryEncoder:
             self.cut = lambda text: [text if self.drops else AS_IS + text] if text else []
         self.cache = Cache(self._encode_chunks, cache)
 
-    def _encode_word(self, word: str, spaced: bool) -> bytes | None:
-        """A word of plain letters, after a space or not; None for anything else."""
-        if word.isascii() and word.isalpha():
-            spelled = word.lower() if self.drops else word
-        elif plain_letters(word):
-            spelled = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
-        else:
-            return None
-        return array("I", [t.id for t in self.model.tokenize(self.space + spelled if spaced else spelled)]).tobytes()
+    def _spelled(self, word: str) -> str | None:
+        """How the merge model spells a word of plain letters; None for anything else."""
+        if word.isalpha():
+            if word.isascii():
+                return word.lower() if self.drops else word
+            if plain_letters(word):
+                return (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
+        return None
 
     def _encode_chunks(self, keys: list[str]) -> list[bytes]:
         """A closing stop or comma after a letter is encoded apart, so that its word is looked up like any other."""
-        known, old, out, rest = self.cache, self.cache.old, [], []
+        known, old, out, rest = self.cache.young, self.cache.old, [None] * len(keys), []
+        tokenize, tails, space = self.model.tokenize, self.tails, "" if self.drops else self.space
         for at, key in enumerate(keys):
-            tail = self.tails.get(key[-1:])
-            core = key[:-1] if tail and plain_letters(key[-2:-1]) else key
-            found = (known.get(core) or old.get(core)) if core is not key else None
-            if found is None:
-                if core[:1] == "\n":
-                    found = self._encode_word(core[1:], False)
-                    found = found and self.newline + found
-                else:
-                    found = self._encode_word(core, not self.drops)
-                if found is None:
-                    rest.append(at)
-                elif core is not key:
-                    known[core] = found
-            out.append(found if found is None or core is key else found + tail)
+            tail, core, lead, before = b"", key, b"", space
+            if key[-1:] in tails and plain_letters(key[-2:-1]):
+                tail, core = tails[key[-1]], key[:-1]
+                found = known.get(core) or old.get(core)
+                if found is not None:
+                    out[at] = found + tail
+                    continue
+            if core[:1] == "\n":
+                core, lead, before = core[1:], self.newline, ""
+            spelled = self._spelled(core)
+            if spelled is None:
+                rest.append(at)
+                continue
+            ids = array("I", [t.id for t in tokenize(before + spelled)]).tobytes()
+            if tail and not lead:
+                known[core] = ids
+            out[at] = lead + ids + tail
         texts = [keys[at] if self.drops else literal(keys[at]) for at in rest]
         for at, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             out[at] = array("I", e.ids).tobytes()
@@ -77,3 +81,9 @@ class LibraryEncoder:
         """The ids of each text, little-endian 32-bit."""
         for row in self.cache.lookup([self.cut(t) for t in texts]):
             yield np.frombuffer(b"".join(row), "<u4")
+
+
+@functools.lru_cache(maxsize=1)
+def library_encoder(source: str) -> LibraryEncoder:
+    """One for each Python worker: the tasks that it runs one after another share the cache of chunks."""
+    return LibraryEncoder(source)
