@@ -6,6 +6,7 @@ pair keys of the merge list by binary search, and joins the pairs of lowest rank
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from duovox.llm.chunks import AS_IS, SPACE, Cache, literal, spaced_chunks
-from duovox.llm.common import ready, text_or_empty
+from duovox.llm.common import batch_udf, ready, text_or_empty
 
 #: The byte-level split pattern (fixed values), with white space as Unicode has it.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -124,36 +125,40 @@ class ByteBPE:
         return self.blob[np.arange(total) + np.repeat(start, sizes)].tobytes().decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def byte_bpe(source: str) -> ByteBPE:
+    """One for each Python worker: the tasks that it runs one after another share the cache of chunks."""
+    return ByteBPE(source)
+
+
 def bpe_columns(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array of int) and decoded (string) for each row; null texts are empty and have no ids."""
     model = ready(df.sparkSession).sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBPE(model.value)
-        for f in frames:
-            ids = [i for i, _ in bpe.encode_batch(f.iloc[:, 1])]
-            yield pd.DataFrame({key: f.iloc[:, 0], "ids": [i.astype(np.int32) for i in ids], "decoded": [bpe.decode(i) for i in ids]})
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = byte_bpe(model.value)
+        for texts in parts:
+            ids = [i for i, _ in bpe.encode_batch(texts)]
+            yield pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "decoded": [bpe.decode(i) for i in ids]})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text_or_empty(text).alias(text)).mapInPandas(run, f"{key} {kind}, ids array<int>, decoded string")
+    return df.select(key, batch_udf(run, "ids array<int>, decoded string")(text_or_empty(text)).alias("_out")).select(key, "_out.*")
 
 
 def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text, in one pass without a shuffle.
 
     The vocabulary file (of fixed size) is read on the driver and broadcast. Null texts count as empty: no ids,
-    and the digests are those of the empty string. Repeated rows and null ids pass through; other columns are ignored.
+    and the digests are those of the empty string. Long texts are encoded whole, in a batch of their own beyond the batch's bytes.
+    Repeated rows and null ids pass through; other columns are ignored; an empty table gives no rows.
     """
     model = ready(docs.sparkSession).sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBPE(model.value)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = byte_bpe(model.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for f in frames:
-            rows = [(len(ids), sha(said), sha(bpe.decode(ids))) for ids, said in bpe.encode_batch(f["text"])]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", f["doc_id"].to_numpy())
-            yield out
-
-    slim = docs.select("doc_id", text_or_empty().alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for texts in parts:
+            rows = [(len(ids), sha(said), sha(bpe.decode(ids))) for ids, said in bpe.encode_batch(texts)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    digest = batch_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", digest(text_or_empty()).alias("_out")).select("doc_id", "_out.*")
