@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duovox.llm.common import ready, shared_folder, stash, text_or_empty
-from duovox.llm.tokens import LibraryEncoder
+from duovox.llm.common import batch_udf, ready, shared_folder, stash, text_or_empty
+from duovox.llm.tokens import library_encoder
 
 RANKS = 48  # bits of a rank within a length
 
@@ -80,30 +80,31 @@ def plan(counts: dict[int, int], size: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
-    """One row per piece, with its task and its rank among the task's pieces of that length."""
+    """One row per piece, with its task and its rank among the task's pieces of that length. Null ids travel as 0 beside a mark."""
     model = ready(docs.sparkSession).sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, seen, task = LibraryEncoder(model.value), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, task = library_encoder(model.value), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for f in frames:
             rows = []
-            for doc, ids in zip(f["doc_id"], encoder.encode_batch(f["text"])):
+            for doc, no_id, ids in zip(f["doc_id"], f["no_id"], encoder.encode_batch(f["text"])):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
+                    rows.append((doc, no_id, k, at, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
                     seen[len(part)] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]).astype({"doc_id": f["doc_id"].dtype if len(f) else "float"})
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    slim = docs.select("doc_id", text_or_empty().alias("text"))
-    return slim.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    slim = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text"))
+    cut = slim.mapInPandas(run, "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return cut.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece of each row's text.
 
     Ids come from the tokenizers library, with end_id after them. Only texts of over size ids are cut, at multiples of
-    size. A null text is empty and has the end id alone. Repeated rows are packed each; rows with a null id too. Other columns
+    size. A null text is empty and has the end id alone; long texts are encoded whole. Repeated rows are packed each; rows with a null id too. Other columns
     are ignored; an empty table gives no rows.
 
     The pieces, without their ids, are written to the shared folder once, which fixes their tasks and ranks. Counts by
@@ -117,15 +118,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) ->
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(plan(counts, size))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         length, first, sequence, offset = slots.value.T
         keys = length << RANKS | first
-        for f in frames:
-            rank = f.pop("rank").to_numpy()
-            at = np.searchsorted(keys, f["length"].to_numpy() << RANKS | rank, side="right") - 1
-            f["sequence_id"] = sequence[at] + rank - first[at]
-            f["offset"] = offset[at]
-            yield f
-
-    ranked = cut.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        for n, rank in parts:
+            rank = rank.to_numpy()
+            at = np.searchsorted(keys, n.to_numpy() << RANKS | rank, side="right") - 1
+            yield pd.DataFrame({"sequence_id": sequence[at] + rank - first[at], "offset": offset[at]})
+
+    where = batch_udf(place, "sequence_id long, offset long", 2)(F.col("length"), F.col("rank") + F.col("before"))
+    return cut.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", where.alias("_at")).select("doc_id", "piece", "start", "length", "ids_crc32", "_at.*")
