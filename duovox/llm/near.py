@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duovox.llm.common import forget, ready, shared_folder, stash, text_or_empty
+from duovox.llm.common import batch_udf, forget, ready, shared_folder, stash, text_or_empty
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -112,21 +112,21 @@ def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, set size, 128-bit fingerprint of the set (null if empty), band keys, and 16 bits of each coordinate, for each row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for f in frames:
-            sets = [shingle_set(t, hashes, words) for t in f["text"]]
+        for texts in parts:
+            sets = [shingle_set(t, hashes, words) for t in texts]
             full = [s for s in sets if len(s)]
             made = sketches(full) if full else ()
             both = iter(zip(band_keys(made), mix(made).astype("<u2")) if full else ())
             rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *next(both)) if len(s) else (0, None, None, None) for s in sets]
             out = pd.DataFrame(rows, columns=["n_shingles", "fingerprint", "bands", "sketch"])
             out["sketch"] = [None if x is None else x.tobytes() for x in out["sketch"]]
-            out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
 
     ready(docs.sparkSession)
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>, sketch binary")
+    signed = batch_udf(run, "n_shingles long, fingerprint binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", signed("text").alias("_out")).select("doc_id", "_out.*")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
