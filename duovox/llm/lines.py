@@ -19,14 +19,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def line_keys(text: Column, least: int) -> Column:
-    """The key of each line by position: two 64-bit hashes of the normalised line as 32 hex digits, null for lines under least code points.
+    """The key of each line by position: two 64-bit hashes of the normalised line, of different seeds, as 32 hex digits, null for lines under least code points.
 
-    128 bits: among the 10^12 lines of a large corpus 64 bits would collide.
+    A seed goes first: after the line it would only scramble the first hash. 128 bits: among the 10^12 lines of a large corpus 64 bits would collide.
     """
 
     def key(line: Column) -> Column:
         bare = F.btrim(line, F.lit(STRIPPED))
-        digest = F.concat(F.hex(F.xxhash64(bare)), F.lit(":"), F.hex(F.xxhash64(bare, F.lit(1))))
+        digest = F.concat(F.hex(F.xxhash64(bare)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), bare)))
         return F.when(F.char_length(bare) >= least, digest)
 
     return F.transform(F.split(ascii_lower(text), "\n", -1), key)
@@ -56,11 +56,13 @@ def without_shared_lines(docs: DataFrame, least: int = 20, threshold: int = 3) -
     drops = held.join(shared, "_key").where("_doc < _last").groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
     joined = own.join(drops, "_doc", "left")
     lines = F.split("_text", "\n", -1)
-    stays = F.filter(
-        F.arrays_zip(lines.alias("line"), keys.alias("key")),
-        lambda x: x["key"].isNull() | ~F.array_contains(F.col("_drop"), F.coalesce(x["key"], F.lit(""))),
-    )
-    kept = F.when(F.col("_drop").isNotNull(), F.transform(stays, lambda x: x["line"]))
+    both = F.arrays_zip(lines.alias("line"), keys.alias("key"))
+    # looked up in about sqrt(n) buckets of n keys, so that a text of many dropped lines isn't compared line by key
+    wide = F.ceil(F.sqrt(F.size("_drop"))).cast("int")
+    bucket = lambda key: F.pmod(F.hash(key), wide)
+    buckets = F.transform(F.sequence(F.lit(0), wide - 1), lambda b: F.filter("_drop", lambda key: bucket(key) == b))
+    stays = lambda held: F.filter(both, lambda x: x["key"].isNull() | ~F.array_contains(F.get(held, bucket(x["key"])), F.coalesce(x["key"], F.lit(""))))
+    kept = F.when(F.col("_drop").isNotNull(), F.transform(F.flatten(F.transform(F.array(buckets), stays)), lambda x: x["line"]))
     out = joined.select("_row", kept.alias("_kept"), F.size(lines).cast("long").alias("n_lines"))
     n_dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long")
     text = F.when(F.col("_kept").isNull(), F.col("_row.text")).otherwise(F.array_join("_kept", "\n"))

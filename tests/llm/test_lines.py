@@ -41,3 +41,21 @@ def test_text_and_columns_stay(spark):
     got = {r.doc_id: r for r in lines.without_shared_lines(docs).collect()}
     assert got[2].text == "a\nb" and got[2].lang == "fr" and got[3].text == LONG and got[1].text == "" and got[4].text is None and got[4].n_lines == 1
     assert lines.line_digest(docs.limit(0)).collect() == []
+
+
+def test_key_halves_are_independent(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(2000).select(F.explode(lines.line_keys(F.concat(F.lit("a line of some length "), "id"), 20)).alias("k")).collect()
+    first, second = ({r.k.split(":")[i] for r in keys} for i in (0, 1))
+    assert len(first) == len(second) == 2000 and not first & second
+    # the second half is no function of the first: hashing the first as a seed gives other values
+    chained = spark.range(2000).select(F.hex(F.xxhash64(F.concat(F.lit("a line of some length "), "id"), F.lit(1))).alias("h")).collect()
+    assert not second & {r.h for r in chained}
+
+
+def test_text_with_many_dropped_lines(spark):
+    own = [f"shared line number {i:06} of many" for i in range(3000)]
+    docs = spark.createDataFrame([(k, "\n".join([*own, f"tail {k}"])) for k in range(3)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lines.without_shared_lines(docs).collect()}
+    assert got[0] == (3000, "tail 0") and got[1] == (3000, "tail 1") and got[2][0] == 0
