@@ -15,15 +15,15 @@ EPSILON = 1e-12
 
 
 def plane_grid(cells: DataFrame, bins: int = 64) -> Grid:
-    """The grid over the finite pairs' ranges, by one aggregate; its four numbers become literals of later plans. A constant channel is padded by half a unit."""
+    """The grid over the finite pairs' ranges, by one aggregate; its four numbers become literals of later plans. A constant channel is padded by a millionth of its size, half a unit at least."""
     low_high = cells.where(both_finite()).agg(F.min("neutron"), F.max("neutron"), F.min("xray"), F.max("xray")).first()
     if low_high[0] is None:
         raise ValueError("no finite pairs")
     n0, n1, x0, x1 = low_high
     if n0 == n1:
-        n0, n1 = n0 - 0.5, n1 + 0.5
+        n0, n1 = n0 - max(abs(n0) * 1e-6, 0.5), n1 + max(abs(n1) * 1e-6, 0.5)
     if x0 == x1:
-        x0, x1 = x0 - 0.5, x1 + 0.5
+        x0, x1 = x0 - max(abs(x0) * 1e-6, 0.5), x1 + max(abs(x1) * 1e-6, 0.5)
     return Grid(n0, n1, x0, x1, bins)
 
 

@@ -90,6 +90,104 @@ def locked_counts(cells: DataFrame, regions: list[Region], grid: Grid, defined_a
     return matched.groupBy("t", "label").agg(F.sum("c").alias("cells"), F.count("*").alias("bins"))
 
 
+EXCLUDED = -1
+
+
+def locked_budget(cells: DataFrame, regions: list[Region], grid: Grid, measured: Column, defined_at: int = 0) -> DataFrame:
+    """t, label, cells of every cell: a class, 0 where none matches, EXCLUDED where the cell isn't measured, by the given policy. Cells
+    measured but outside the grid count as 0, so a timepoint's rows add up to its cells."""
+    ok = F.coalesce(measured & both_finite(), F.lit(False))
+    fit = cells.where(ok)
+    library = materials(class_library(fit.where(F.col("t") == defined_at), regions), regions)
+    table = match_table(moments(fit, grid), library, grid).groupBy("t", "label").agg(F.sum("c").alias("cells"))
+    sides = cells.groupBy("t").agg(F.count("*").alias("n"), F.count_if(ok).alias("measured"))  # a row for each t
+    inside = table.groupBy("t").agg(F.sum("cells").alias("inside"))
+    rest = sides.join(inside, "t", "left").select("t", F.inline(F.array(
+        F.struct(F.lit(EXCLUDED).alias("label"), (F.col("n") - F.col("measured")).alias("cells")), F.struct(F.lit(UNCLASSIFIED).alias("label"), (F.col("measured") - F.coalesce("inside", F.lit(0))).alias("cells")),
+    )))
+    return table.select("t", "label", "cells").union(rest.select("t", "label", "cells")).groupBy("t", "label").agg(F.sum("cells").alias("cells")).where("cells > 0")
+
+
+def budget_report(budget: DataFrame) -> DataFrame:
+    """t, total, valid, excluded, unclassified, unclassified_share (of the measured cells), classes found."""
+    one = lambda label: F.sum(F.when(F.col("label") == label, F.col("cells")).otherwise(0))
+    out = budget.groupBy("t").agg(F.sum("cells").alias("total"), one(EXCLUDED).alias("excluded"), one(UNCLASSIFIED).alias("unclassified"), F.count_if(F.col("label") > 0).alias("classes"))
+    valid = F.col("total") - F.col("excluded")
+    return out.select("t", "total", valid.alias("valid"), "excluded", "unclassified", F.try_divide(F.col("unclassified"), valid).alias("unclassified_share"), "classes")
+
+
+def retention(smoothed: DataFrame, plain: DataFrame) -> DataFrame:
+    """t, label, kept: a class's cells with smoothing over those without (null where it had none)."""
+    before = plain.where("label > 0").select("t", "label", F.col("cells").alias("before"))
+    return before.join(smoothed.select("t", "label", "cells"), ["t", "label"], "left").select("t", "label", F.try_divide(F.coalesce("cells", F.lit(0)), F.col("before")).alias("kept"))
+
+
+def guards(report: DataFrame, kept: DataFrame | None = None, most_unclassified: float = 0.5, least_kept: float = 0.2) -> DataFrame:
+    """t, finding, value: reasons to refuse a result. Too many measured cells without a class, a budget that doesn't close, smoothing
+    that takes a class away. A timepoint without measured cells is a finding too."""
+    share = report.where(F.col("unclassified_share") > most_unclassified).select("t", F.lit("unclassified").alias("finding"), F.col("unclassified_share").alias("value"))
+    empty = report.where("valid = 0").select("t", F.lit("nothing measured").alias("finding"), F.col("total").cast("double").alias("value"))
+    gap = F.col("total") - F.col("valid") - F.col("excluded")
+    out = share.union(empty).union(report.where(gap != 0).select("t", F.lit("budget").alias("finding"), gap.cast("double").alias("value")))
+    return out if kept is None else out.union(kept.where(F.col("kept") < least_kept).select("t", F.concat(F.lit("smoothing of class "), "label").alias("finding"), "kept"))
+
+
+def scores(labels: DataFrame, truth: str, prediction: str, classes: list[int]) -> DataFrame:
+    """t, class_id, dice, volume_error of every class at every t: Dice is 1 where both are empty; the error is of shares of all cells of t."""
+    hit = lambda c, k: F.coalesce(F.col(c) == k, F.lit(False))
+    sums = labels.groupBy("t").agg(F.count("*").alias("n"), *[x for k in classes for x in (F.count_if(hit(truth, k)).alias(f"a{k}"), F.count_if(hit(prediction, k)).alias(f"b{k}"), F.count_if(hit(truth, k) & hit(prediction, k)).alias(f"c{k}"))])
+    rows = sums.select("t", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("class_id"), F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b"), F.col(f"c{k}").alias("c")) for k in classes])))
+    dice = F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(2 * F.col("c") / (F.col("a") + F.col("b")))
+    return rows.select("t", "class_id", dice.alias("dice"), ((F.col("b") - F.col("a")) / F.col("n")).alias("volume_error"))
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """class_id, dice: means over t; class_id null is the mean of the classes' means."""
+    each = scored.groupBy("class_id").agg(F.avg("dice").alias("dice"))
+    return each.union(each.agg(F.lit(None).cast("int").alias("class_id"), F.avg("dice").alias("dice")))
+
+
+def best_matching(matrix: DataFrame) -> DataFrame:
+    """prediction, truth, n of the one-to-one matching of clusters to classes with the largest overlap; the least such in order of
+    classes. The confusion table, clusters x classes rows, goes to the driver; it is solved over sets of classes used, so at most 16 classes."""
+    rows = matrix.where("prediction IS NOT NULL AND truth IS NOT NULL").collect()
+    clusters_, classes = (sorted({r[c] for r in rows}) for c in ("prediction", "truth"))
+    if len(classes) > 16:
+        raise ValueError("more than 16 classes")
+    n = {(r["prediction"], r["truth"]): r["n"] for r in rows}
+    best = {0: (0, ())}
+    for p in clusters_:
+        step = {}
+        for used, (total, path) in best.items():
+            for k, c in [*enumerate(classes), (None, None)]:
+                if k is not None and used >> k & 1:
+                    continue
+                key = used if k is None else used | 1 << k
+                option = (total + (0 if k is None else n.get((p, c), 0)), path if k is None else (*path, (p, c)))
+                if key not in step or (-option[0], option[1]) < (-step[key][0], step[key][1]):
+                    step[key] = option
+        best = step
+    pairs = min(best.values(), key=lambda o: (-o[0], -len(o[1]), o[1]), default=(0, ()))[1]
+    return matrix.sparkSession.createDataFrame([(p, c, n.get((p, c), 0)) for p, c in pairs], "prediction int, truth int, n long")
+
+
+def class_pairs(library: DataFrame) -> DataFrame:
+    """first, second, overlap (Bhattacharyya), elongation of the first, and the angle in degrees of its long axis to the line between both: null if it has none. A few classes pair up."""
+    a, d, o = F.col("var_n"), F.col("var_x"), F.col("cov")
+    root = F.sqrt((a - d) ** 2 / 4 + o * o)
+    long_, short = (a + d) / 2 + root, F.greatest((a + d) / 2 - root, F.lit(0.0))
+    axis = F.when(o != 0, F.atan2(long_ - a, o)).otherwise(F.when(a >= d, 0.0).otherwise(math.pi / 2))
+    one = library.select(F.col("class_id").alias("first"), "neutron_mean", "xray_mean", a, d, o, F.when(short > 0, F.sqrt(long_ / short)).otherwise(F.when(long_ > 0, math.inf).otherwise(1.0)).alias("elongation"), axis.alias("axis"))
+    two = library.select(F.col("class_id").alias("second"), *[F.col(c).alias(f"o_{c}") for c in ("neutron_mean", "xray_mean", "var_n", "var_x", "cov")])
+    dn, dx = F.col("neutron_mean") - F.col("o_neutron_mean"), F.col("xray_mean") - F.col("o_xray_mean")
+    mn, mx, mo = ((F.col(c) + F.col(f"o_{c}")) / 2 for c in ("var_n", "var_x", "cov"))
+    det, dets = mn * mx - mo * mo, (a * d - o * o) * (F.col("o_var_n") * F.col("o_var_x") - F.col("o_cov") ** 2)
+    distance = ((mx * dn * dn - 2 * mo * dn * dx + mn * dx * dx) / det) / 8 + F.log(det / F.sqrt(dets)) / 2
+    angle = F.degrees(F.acos(F.least(F.abs(F.cos("axis") * dn + F.sin("axis") * dx) / F.hypot(dn, dx), F.lit(1.0))))
+    fine = (F.col("elongation") >= 1.05) & (F.hypot(dn, dx) > 0)
+    return one.join(two, F.col("first") != F.col("second")).select("first", "second", F.when((det > 0) & (dets > 0), F.exp(-F.greatest(distance, F.lit(0.0)))).alias("overlap"), "elongation", F.when(fine, angle).alias("angle"))
+
+
 def locked_labels(cells: DataFrame, regions: list[Region], grid: Grid, defined_at: int = 0) -> DataFrame:
     """The finite cells in the grid with their label: the match table, at most bins x bins rows for a t, joined back by bin."""
     library = materials(class_library(cells.where(F.col("t") == defined_at), regions), regions)

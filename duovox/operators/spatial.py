@@ -85,7 +85,10 @@ def _table(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which ends its lineage."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")
@@ -95,8 +98,20 @@ def _table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected(cells: DataFrame, mask: Column) -> DataFrame:
-    """t, z, y, x, component of the cells in a mask: components by faces, named by their least cell.
+def near_pairs(cells: DataFrame, value: str, reach: int) -> DataFrame:
+    """a, b: the values of every two cells whose places differ by at most 1 on each axis and on at most `reach` axes (1: faces, 2: edges too,
+    3: corners too), once for each. One equi-join on the place: each cell asks for its neighbours in one direction."""
+    if reach == 1:
+        return face_pairs(cells, value).select("a", "b")
+    steps = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0) and abs(z) + abs(y) + abs(x) <= reach]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(AXES, s)]) for s in steps]))
+    asked = cells.select("t", *AXES, F.col(value).alias("a"), moves.alias("m")).select("t", *[(F.col(a) + F.col("m")[a]).alias(a) for a in AXES], "a")
+    return asked.join(cells.select("t", *AXES, F.col(value).alias("b")), ["t", *AXES]).select("a", "b")
+
+
+def connected(cells: DataFrame, mask: Column, reach: int = 1, apart: str | None = None) -> DataFrame:
+    """t, z, y, x, component of the cells in a mask: components by faces (reach 1), edges (2) or corners (3), named by their least cell.
+    apart: a column whose values part components too.
 
     Each round takes the least label among face neighbours, then that label's own label; rounds are tables in the shared folder
     and their number grows with the logarithm of a component's length.
@@ -106,8 +121,11 @@ def connected(cells: DataFrame, mask: Column) -> DataFrame:
         return cells.select("t", *AXES, F.lit(None).cast("long").alias("component"))
     ny, nx = spans[1] + 1, spans[2] + 1
     ident = ((F.col("t").cast("long") * (spans[0] + 1) + F.col("z")) * ny + F.col("y")) * nx + F.col("x")
-    inside = _table(cells.where(mask).select("t", *AXES, ident.alias("id")))
-    edges = _table(face_pairs(inside, "id").select("a", "b"))
+    part = F.lit(0) if apart is None else F.col(apart)
+    inside = _table(cells.where(mask).select("t", *AXES, ident.alias("id"), part.alias("part")))
+    pairs = near_pairs(inside.withColumn("_v", F.struct("id", "part")), "_v", reach)
+    edges = _table(pairs.where("a.part <=> b.part").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    inside = inside.drop("part")
     both = edges.union(edges.select("b", "a"))
     labels = inside.select("id", F.col("id").alias("component"))
     while True:
@@ -120,22 +138,72 @@ def connected(cells: DataFrame, mask: Column) -> DataFrame:
             return inside.join(labels, "id").drop("id")
 
 
-def grown(cells: DataFrame, seed: tuple[int, int, int, int], channel: str, tolerance: float) -> DataFrame:
-    """The cells connected to a seed (t, z, y, x) by cells whose value is within tolerance of the seed's; none for a seed outside."""
+def grown(cells: DataFrame, seed: tuple[int, int, int, int], channel: str | tuple[str, ...], tolerance: float | tuple[float, ...], reach: int = 1) -> DataFrame:
+    """The cells connected to a seed (t, z, y, x) by cells whose values are within tolerance of the seed's, in one channel or in each of several;
+    none for a seed outside or without values. reach: as for connected."""
+    channels, tolerances = ((channel,), (tolerance,)) if isinstance(channel, str) else (channel, tolerance)
     at = dict(zip(("t", *AXES), seed))
     here = cells
     for a, v in at.items():
         here = here.where(F.col(a) == v)
-    value = here.select(channel).first()
-    if value is None or value[0] is None:
+    values = here.select(*channels).first()
+    if values is None or any(v is None for v in values):
         return cells.select("t", *AXES).limit(0)
-    parts = connected(cells.where(F.col("t") == seed[0]), F.abs(F.col(channel) - value[0]) <= tolerance)
+    near = F.lit(True)
+    for c, v, d in zip(channels, values, tolerances):
+        near = near & (F.abs(F.col(c) - v) <= d)
+    parts = connected(cells.where(F.col("t") == seed[0]), near, reach)
     own = parts
     for a, v in at.items():
         own = own.where(F.col(a) == v)
     return parts.join(own.select("component"), "component", "left_semi").select("t", *AXES)
 
 
+def label_components(cells: DataFrame, label: str = "label", reach: int = 1) -> DataFrame:
+    """t, label, components, largest_share: how many parts each label has, and its largest part's share of it."""
+    parts = connected(cells, F.col(label).isNotNull(), reach, label).join(cells.select("t", *AXES, F.col(label).alias("label")), ["t", *AXES])
+    sizes = parts.groupBy("t", "label", "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("t", "label").agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
+
+
+def label_rows(cells: DataFrame, label: str = "label") -> DataFrame:
+    """mass of each label at each t, with surface over volume (border faces don't count) and the drift of its centre since the first t that has it."""
+    faces = face_pairs(cells, label).where("a != b").select("t", F.explode(F.array("a", "b")).alias("label")).groupBy("t", "label").agg(F.count("*").alias("faces"))
+    rows = mass(cells, label).join(faces, ["t", "label"], "left")
+    first = Window.partitionBy("label").orderBy("t")  # a row for each t
+    drift = F.sqrt(sum((F.col(f"centre_{a}") - F.first(f"centre_{a}").over(first)) ** 2 for a in AXES))
+    return rows.select("t", "label", "n", *[f"centre_{a}" for a in AXES], "gyration", (F.coalesce("faces", F.lit(0)) / F.col("n")).alias("surface_share"), drift.alias("drift"))
+
+
+def interface_rows(cells: DataFrame, label: str = "label") -> DataFrame:
+    """t, first, second, faces of every two labels that touch."""
+    return face_pairs(cells, label).where("a != b").groupBy("t", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).agg(F.count("*").alias("faces"))
+
+
+def edge_weights(cells: DataFrame) -> DataFrame:
+    """t, z, y, x, axis, weight of each face between two cells, named by the lower one: exp(-(gap / sigma)^2 / 2), 0 where a value isn't finite.
+
+    gap: joint step of both channels in units of their deviations; sigma: the mean finite gap of t, with the last layer along each axis
+    as gap 0 (axes of one layer don't count). Needs a full grid for the count of the last layers: the extents come from the data.
+    """
+    fine = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c))
+    unit = lambda c: F.coalesce(F.nullif(F.stddev_pop(fine(c)), F.lit(0.0)), F.lit(1.0))
+    sizes = [(F.max(a) - F.min(a) + 1) for a in AXES]
+    volume = sizes[0] * sizes[1] * sizes[2]
+    last = sum(F.when(n > 1, volume / n).otherwise(0) for n in sizes)
+    scale = cells.groupBy("t").agg(unit("neutron").alias("sn"), unit("xray").alias("sx"), last.alias("last"))  # a row for each t
+    faces = None
+    for axis in AXES:
+        pair = F.struct(fine("neutron").alias("n"), fine("xray").alias("x"))
+        one = cells.withColumn("_v", pair).select("t", *AXES, F.lit(axis).alias("axis"), F.col("_v").alias("a"), next_along(axis, "_v").alias("b")).where("b IS NOT NULL")
+        faces = one if faces is None else faces.union(one)
+    gap = F.sqrt(((F.col("b.n") - F.col("a.n")) / F.col("sn")) ** 2 + ((F.col("b.x") - F.col("a.x")) / F.col("sx")) ** 2)
+    gaps = faces.join(F.broadcast(scale), "t").select("t", *AXES, "axis", gap.alias("gap"), "last")
+    mean = F.sum("gap") / (F.count("gap") + F.first("last"))
+    sigma = gaps.groupBy("t").agg(F.greatest(F.coalesce(mean, F.lit(1.0)), F.lit(1e-6)).alias("sigma"))  # a row for each t
+    return gaps.join(F.broadcast(sigma), "t").select("t", *AXES, "axis", F.coalesce(F.exp(-0.5 * (F.col("gap") / F.col("sigma")) ** 2), F.lit(0.0)).alias("weight"))
+
+
 def icm(cells: DataFrame, unaries: list[str], beta: float, sweeps: int = 5, slab: int = 16) -> DataFrame:
     """t, z, y, x, label after synchronous sweeps: each cell takes the label of least unary cost plus beta for each unlike face neighbour.
 

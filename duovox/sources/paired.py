@@ -26,6 +26,11 @@ def grid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of grid_events as a series: five slabs make a timepoint."""
+    return grid_events(spark, sf_dir).withColumns({"t": F.floor(F.col("z") / 5).cast("int"), "z": F.pmod(F.col("z"), F.lit(5))})
+
+
 def with_labels(cells: DataFrame, steps: tuple[float, ...] = (34.0, 67.0)) -> DataFrame:
     """cells with an int label: how many of steps the second channel has reached."""
     return cells.withColumn("label", sum((F.col("xray") >= s).cast("int") for s in steps))
