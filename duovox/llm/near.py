@@ -31,9 +31,8 @@ COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Equal coordinates, of COORDINATES, below which a pair isn't worth an exact comparison: 0.75 of them less 5 standard deviations.
 AGREE = 92
-#: Members that are compared at once; and the largest cluster whose full sets are copied to each of its blocks.
-BLOCK = 256
-LARGE = 20_000
+#: Members of a block, and bytes of their full sets, on average at most; every two blocks of a bucket are compared as one group.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: A bucket's pivot is its least member in one of so many orders, chosen by band.
 ORDERS = 4
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -151,20 +150,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_blocks(members: DataFrame) -> DataFrame:
-    """members (key, rep, root) with the number of blocks of their key."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """members (key, rep, root, and n_shingles if their sets go along) with the number of blocks of their key."""
+    parts = [F.count("*") / BLOCK] + [8 * F.sum("n_shingles") / BLOCK_BYTES] * ("n_shingles" in members.columns)
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.lit(1), *parts)).alias("blocks"))
     return members.join(sizes, "key")
 
 
 def agreeing(members: DataFrame, agree: int, percent: int | None = None) -> DataFrame:
     """Distinct pairs a < b of members (key, rep, root, blocks, sketch) of one key, of different roots, whose sketches agree enough.
 
-    With percent, members have their full sets (shingles) too, and only pairs that are similar come out, fewer still
-    where pairs before have already connected two roots. A key's members are dealt into blocks by hash, and every two
-    blocks meet as one group of 2 x BLOCK rows or so: however large a key is, no task holds it whole, and pairs that don't agree
-    aren't rows.
+    With percent, members have their full sets (shingles) and all their keys (bands) too. Only pairs that are similar come out, fewer still
+    where pairs before have already connected two roots; a pair of several keys is compared at the first of them. A key's members are dealt into
+    blocks by hash, and every two blocks meet as one group of 2 x BLOCK rows or so: however large a key is, no task holds it whole, and pairs
+    that don't agree aren't rows.
     """
-    more = ["shingles"] if percent else []
+    more = ["shingles", "bands"] if percent else []
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     each = members.select("key", "rep", "root", "sketch", *more, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = each.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root", "sketch", *more)
@@ -173,7 +173,7 @@ def agreeing(members: DataFrame, agree: int, percent: int | None = None) -> Data
         own, rep, root = (f[c].to_numpy() for c in ("own", "rep", "root"))
         low, high, root = f["low"].iloc[0], f["high"].iloc[0], root.copy()
         data = np.frombuffer(b"".join(f["sketch"]), "<u2").reshape(len(rep), -1)
-        sets = f["shingles"].tolist() if percent else None
+        sets, bands, key = (f["shingles"].tolist(), np.stack(f["bands"].tolist()), f["key"].iloc[0]) if percent else (None, None, None)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         out = []
         for i in left:
@@ -181,7 +181,10 @@ def agreeing(members: DataFrame, agree: int, percent: int | None = None) -> Data
             to = to[root[to] != root[i]]
             if not len(to):
                 continue
-            for j in to[(data[to] == data[i]).sum(axis=1) >= agree]:
+            to = to[(data[to] == data[i]).sum(axis=1) >= agree]
+            if sets and len(to):
+                to = to[bands[i][(bands[to] == bands[i]).argmax(axis=1)] == key]
+            for j in to:
                 if sets:
                     if root[i] == root[j] or not similar(sets[i], sets[j], percent):
                         continue
@@ -270,8 +273,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Equal sets first become classes with their least doc_id as representative, so copies cost one row each. In each bucket
     of band keys with two representatives or more, all members are compared with the bucket's pivot, and confirmed pairs
     are merged into components. Where the other members of a bucket still span several components, they meet in
-    blocks, and pairs of different components whose sketches agree enough are compared in full, within the task. Clusters of more than LARGE
-    such members are compared bucket by bucket instead, with their sets joined to the pairs that agree.
+    blocks, full sets at hand: pairs of different components whose sketches agree enough are compared in full, within the task, each in the
+    first bucket that it shares. This is the same for buckets of every size; only links between components become rows.
     """
     spark = ready(docs.sparkSession)
     scratch = Scratch(spark)
@@ -281,9 +284,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes, _ = scratch.keep(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
     # one row for each class; doc_id is unique, so the largest class is no hot key here
     reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
+    keyed = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared, shared_at = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key"))
-    members, _ = scratch.keep(keyed.join(shared, "key").select("key", "rep", (F.col("band") % ORDERS).alias("turn")))
+    members, _ = scratch.keep(keyed.join(shared, "key").select("key", "rep", "n_shingles", (F.col("band") % ORDERS).alias("turn")))
     forget(spark, shared_at)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets, sets_at = scratch.keep(full_sets(slim.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), words).dropDuplicates(["doc_id"]))
@@ -294,28 +297,16 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     done, _ = scratch.keep(confirmed(pairs, sets, percent))
     roots = merged(None, done.where("ok").select("a", "b"), scratch)
     # every pair with a pivot is settled; the other members meet each other where several components are left among them
-    others = members.join(spent, "key").where("rep != pivot").select("key", "rep").distinct()
+    others = members.join(spent, "key").where("rep != pivot").select("key", "rep", "n_shingles").distinct()
     state = others.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     state, _ = scratch.keep(state)
     open_, _ = scratch.keep(state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"))
     still, _ = scratch.keep(state.join(open_, "key"))
-    # members of these buckets that chains of buckets connect: each meets the others of its cluster once, full sets at hand
-    hubs = still.groupBy("key").agg(F.min("rep").alias("hub"))
-    clusters = components(still.join(hubs, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a != b").distinct(), scratch)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    sized, _ = scratch.keep(clusters.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("key"), "n"))
-    coded, _ = scratch.keep(signed.select(F.col("doc_id").alias("rep"), "sketch").join(sized.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
-    small = with_blocks(sized.where(F.col("n") <= LARGE).select("key", "rep").join(still.select("rep", "root").distinct(), "rep"))
-    full = small.join(coded, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    # the members of these buckets meet each other, full sets at hand
+    coded = signed.select(F.col("doc_id").alias("rep"), "bands", "sketch").join(still.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    full = with_blocks(still).join(coded, "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     found, _ = scratch.keep(agreeing(full, agree, percent))
     roots = merged(roots, found, scratch)
-    large = sized.where(F.col("n") > LARGE).select("rep")
-    if large.limit(1).count():
-        # clusters too large to copy full sets from block to block: only sketches meet, bucket by bucket, and pairs that agree are joined to their sets
-        held = with_blocks(still.join(large, "rep", "left_semi").select("key", "rep", "root")).join(coded, "rep")
-        pairs = agreeing(held, agree).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        further, _ = scratch.keep(confirmed(pairs, sets, percent))
-        roots = merged(roots, further.where("ok").select("a", "b"), scratch)
     forget(spark, sets_at)
     named = roots.select(F.col("node").alias("rep"), "root")
     groups, _ = scratch.keep(classes.join(named, "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id")))

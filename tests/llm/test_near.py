@@ -48,9 +48,10 @@ def test_components_against_brute_force(spark, seed):
     assert sorted([tuple(r) for r in near.link_components(docs).collect()], key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("large", [0, 20_000])
-def test_chains_need_further_pivots(spark, monkeypatch, large):
-    monkeypatch.setattr(near, "LARGE", large)
+@pytest.mark.parametrize("block, size", [(1024, 16 << 20), (2, 16 << 20), (1024, 5000)])
+def test_chains_need_further_pivots(spark, monkeypatch, block, size):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_BYTES", size)
     # a chain: neighbours are similar, distant members aren't, so one pivot for each bucket can't connect it
     words = [f"c{k}" for k in range(700)]
     rows = [(100 - k, " ".join(words[30 * k : 30 * k + 400])) for k in range(11)]
