@@ -424,7 +424,7 @@ def mrf_icm(spark, sf_dir):
 
 @query("kmeans_series")
 def kmeans_series(spark, sf_dir):
-    """Clusters of the whole series; transient islands, which the reference excludes first by default, are left out of the job and stay in the data."""
+    """The timeline of the series: four persistent clusters, then the transient islands, which are found and set aside first."""
     cells, grid = lineitem_grid(spark, sf_dir)
     return clusters.cluster_series(cells, grid, 4)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duovox.jobs.registry import _B, _CLASS, _G, _MATCH, _R, _V, BINS, QUERIES, REGIONS, SQL, lineitem_grid, query
-from duovox.operators import boxes, histograms, materials, spatial, statistics, stencils
+from duovox.operators import boxes, clusters, histograms, islands, materials, spatial, statistics, stencils
 from duovox.sources.paired import grid_events, grid_series, paired_lineitem, with_labels
 
 BOX = boxes.Box((0, 4), (3, 17), (5, 12))
@@ -273,3 +273,39 @@ def transient_labels(spark, sf_dir):
 def volume_cv(spark, sf_dir):
     sizes = series(spark, sf_dir).groupBy("t", "label").agg(F.count("*").alias("n"))
     return sizes.groupBy("label").agg((F.stddev_pop("n") / F.abs(F.avg("n"))).alias("cv"))
+
+
+_SEASONS = "v AS (SELECT (year(l_shipdate) - 1995)::INTEGER AS t, CASE WHEN l_linenumber % 2 = 0 THEN -dayofyear(l_shipdate) ELSE (year(l_shipdate) - 1994) * 2000.0 + dayofyear(l_shipdate) END AS neutron, l_extendedprice AS xray FROM lineitem), f AS (SELECT * FROM v WHERE isfinite(neutron) AND isfinite(xray))"
+_MIRROR = "k AS (SELECT o, exp(-0.5 * o * o) AS u FROM range(-4, 5) r(o)), kn AS (SELECT o, u / (SELECT sum(u) FROM k) AS w FROM k), km AS (SELECT j, CASE WHEN j + o < 0 THEN -1 - j - o WHEN j + o > 127 THEN 255 - j - o ELSE j + o END AS i, w FROM range(0, 128) a(j), kn)"
+_GROW = ", ".join(f"g{n + 1} AS (SELECT DISTINCT iy + dy AS iy, ix + dx AS ix FROM g{n}, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE iy + dy BETWEEN 0 AND 127 AND ix + dx BETWEEN 0 AND 127 AND (iy + dy, ix + dx) NOT IN (SELECT (iy, ix) FROM shut))" for n in range(4))
+_ISLANDS = f"""WITH RECURSIVE {_SEASONS}, {_R}, b AS (SELECT t, greatest(0, least(127, floor((xray - x0) / (x1 - x0) * 128)))::INTEGER AS iy, greatest(0, least(127, floor((neutron - n0) / (n1 - n0) * 128)))::INTEGER AS ix FROM f, r),
+h AS (SELECT t, iy, ix, count(*) AS count FROM b GROUP BY t, iy, ix), {_MIRROR},
+sy AS (SELECT h.t, km.j AS iy, h.ix, sum(h.count * w) AS v FROM h JOIN km ON km.i = h.iy GROUP BY h.t, km.j, h.ix), sx AS (SELECT sy.t, sy.iy, km.j AS ix, sum(sy.v * w) AS v FROM sy JOIN km ON km.i = sy.ix GROUP BY sy.t, sy.iy, km.j),
+nt AS (SELECT count(DISTINCT t) AS ts FROM h), sh AS (SELECT iy, ix, count(*) / (SELECT ts FROM nt) AS share FROM sx WHERE v >= 0.5 GROUP BY iy, ix), shut AS (SELECT iy, ix FROM sh WHERE share >= 0.5), g0 AS (SELECT iy, ix FROM sh WHERE share < 0.5), {_GROW},
+p AS (SELECT iy, ix, iy - row_number() OVER (PARTITION BY ix ORDER BY iy) AS run FROM g4), m AS MATERIALIZED (SELECT min(iy)::BIGINT * 128 + ix AS id, ix, min(iy) AS lo, max(iy) AS hi FROM p GROUP BY ix, run),
+e AS MATERIALIZED (SELECT u.id AS a, w.id AS b FROM m u JOIN (SELECT * FROM m, (SELECT unnest([-1, 1]) AS dx)) w ON u.ix = w.ix + w.dx AND u.lo <= w.hi + 1 AND w.lo <= u.hi + 1), {_COMPONENTS},
+c AS (SELECT comp, d.t, coalesce(sum(h.count), 0)::BIGINT AS n FROM lab JOIN m ON m.id = lab.id CROSS JOIN (SELECT DISTINCT t FROM h) d LEFT JOIN h ON h.t = d.t AND h.ix = m.ix AND h.iy BETWEEN m.lo AND m.hi GROUP BY comp, d.t),
+q AS (SELECT comp, max(n) AS peak, min(n) AS least, median(n) AS typical FROM c GROUP BY comp), z AS (SELECT comp, row_number() OVER (ORDER BY peak DESC, comp) - 1 AS island FROM q WHERE peak >= 10 AND peak >= typical + 5 * sqrt(typical + 1) AND least <= 0.2 * peak)
+SELECT z.island::INTEGER AS island, c.t, c.n AS cells FROM z JOIN c ON c.comp = z.comp"""
+
+
+def seasons(spark, sf_dir):
+    """Cells of a series whose first channel, for every other line, moves on by 2000 a year, so each year has its own place in the plane; and their histogram."""
+    year, day = F.year("l_shipdate") - 1995, F.dayofyear("l_shipdate")
+    moving = F.when(F.col("l_linenumber") % 2 == 0, -day.cast("double")).otherwise((year + 1) * 2000.0 + day)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(year.cast("int").alias("t"), moving.alias("neutron"), F.col("l_extendedprice").cast("double").alias("xray"))
+    grid = histograms.plane_grid(rows, 128)
+    return rows, grid, spatial._table(histograms.histogram(rows, grid))
+
+
+@query("transient_islands", _ISLANDS)
+def transient_islands(spark, sf_dir):
+    _, grid, hist = seasons(spark, sf_dir)
+    return islands.island_counts(hist, *islands.transient_islands(hist, grid.bins))
+
+
+@query("kmeans_islands")
+def kmeans_islands(spark, sf_dir):
+    """Cells of each cluster, islands included, from the label of every cell."""
+    rows, grid, hist = seasons(spark, sf_dir)
+    return clusters.label_cells(rows, clusters.series_plane(hist, grid, 2)).groupBy("t", "cluster").agg(F.count("*").alias("cells"))

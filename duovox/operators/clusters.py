@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, both_finite
-from duovox.operators.histograms import binned, dense
+from duovox.operators.histograms import histogram
+from duovox.operators.islands import transient_islands
+from duovox.operators.spatial import _table
 
 
 def lloyd(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 50, seed: int = 0) -> np.ndarray:
@@ -28,22 +32,75 @@ def lloyd(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 50, see
     return centres[np.lexsort(centres.T[::-1])]
 
 
-def cluster_series(cells: DataFrame, grid: Grid, k: int) -> DataFrame:
-    """t, cluster, cells, fraction: k-means on the bins of the mean normalised histogram, counted for every t.
+@dataclass(frozen=True)
+class SeriesPlane:
+    """One clustering of the histogram plane, for every t: the cluster of each bin (iy, ix), and centres (neutron, xray); those from `persistent` on are transient islands."""
+
+    grid: Grid
+    labels: np.ndarray
+    centres: np.ndarray
+    persistent: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """iy, ix, cluster: bins x bins rows."""
+        return spark.createDataFrame([(int(y), int(x), int(k)) for (y, x), k in np.ndenumerate(self.labels)], "iy int, ix int, cluster int")
 
-    Only the histogram, at most bins x bins rows, reaches the driver; cells are counted by bin on the executors.
+
+def series_plane(hist: DataFrame, grid: Grid, k: int, transient: bool = True, emphasise_small: bool = False) -> SeriesPlane:
+    """k-means on the bins of the mean normalised histogram, less those of transient islands, which become clusters after the k.
+
+    Centres of bins are scaled by their weighted deviation. emphasise_small: weights log1p of the cells of a mean timepoint. Every bin gets a
+    cluster, empty ones too. Only numbers for each bin, at most bins x bins of them, reach the driver.
     """
-    hist = binned(cells, grid).groupBy("t", "iy", "ix").agg(F.count("*").alias("n"))
-    rows = hist.toPandas()
-    share = rows["n"] / rows.groupby("t")["n"].transform("sum")
-    bins = rows.assign(share=share).groupby(["iy", "ix"], as_index=False)["share"].sum()
-    points = bins[["ix", "iy"]].to_numpy(float)
-    centres = lloyd(points, bins["share"].to_numpy() / rows["t"].nunique(), k)
-    nearest = F.array_min(F.array(*[F.struct(((F.col("ix") - float(a)) ** 2 + (F.col("iy") - float(b)) ** 2).alias("d"), F.lit(j).alias("cluster")) for j, (a, b) in enumerate(centres)]))
-    counts = hist.withColumn("cluster", nearest["cluster"]).groupBy("t", "cluster").agg(F.sum("n").alias("cells"))
-    full = dense(counts, ["cluster"], "cells")
-    total = full.groupBy("t").agg(F.sum("cells").alias("total"))
-    return full.join(total, "t").select("t", "cluster", "cells", (F.col("cells") / F.greatest("total", F.lit(1))).alias("fraction"))
+    island, peaks = transient_islands(hist, grid.bins) if transient else (np.full((grid.bins, grid.bins), -1), [])
+    totals = hist.groupBy("t").agg(F.sum("count").alias("total"))  # a row for each t
+    of = totals.agg(F.count("*"), F.avg("total")).first()
+    rows = hist.join(totals, "t").groupBy("iy", "ix").agg((F.sum(F.col("count") / F.col("total")) / of[0]).alias("w"), F.max("count").alias("peak")).toPandas()
+    weight, peak = np.zeros((2, grid.bins, grid.bins))
+    weight[rows["iy"], rows["ix"]], peak[rows["iy"], rows["ix"]] = rows["w"], rows["peak"]
+    if emphasise_small:
+        weight = np.log1p(weight * of[1])
+    at = (np.arange(grid.bins) + 0.5) / grid.bins
+    x, y = np.meshgrid(grid.n_lo + at * (grid.n_hi - grid.n_lo), grid.x_lo + at * (grid.x_hi - grid.x_lo))
+    every, fit = np.stack([x.ravel(), y.ravel()], axis=1), ((weight > 0) & (island < 0)).ravel()
+    if fit.sum() < k:
+        raise ValueError(f"{fit.sum()} bins hold data, fewer than {k}")
+    points, w = every[fit], weight.ravel()[fit]
+    mean = np.average(points, axis=0, weights=w)
+    scale = np.sqrt(np.average((points - mean) ** 2, axis=0, weights=w))
+    scale[scale == 0] = 1
+    unit = lloyd((points - mean) / scale, w, k)
+    gaps = (((every - mean) / scale)[:, None] - unit[None]) ** 2
+    labels = gaps.sum(-1).argmin(1).reshape(island.shape)
+    labels[island >= 0] = k + island[island >= 0]
+    own = [[np.average(v[island == i], weights=peak[island == i]) for v in (x, y)] for i in range(len(peaks))]
+    return SeriesPlane(grid, labels, np.array([*(unit * scale + mean), *own]), k)
+
+
+def label_cells(cells: DataFrame, plane: SeriesPlane) -> DataFrame:
+    """cells with their cluster, by their bin; values out of range go to the edge bins, cells without a finite pair to -1."""
+    finite = both_finite()
+    rows = cells.withColumns({"_iy": F.when(finite, plane.grid.xray_bin()), "_ix": F.when(finite, plane.grid.neutron_bin())})
+    table = plane.table(cells.sparkSession).toDF("_iy", "_ix", "_cluster")
+    return rows.join(F.broadcast(table), ["_iy", "_ix"], "left").select(*[F.col(c) for c in cells.columns if c != "cluster"], F.coalesce("_cluster", F.lit(-1)).alias("cluster"))
+
+
+def timeline(hist: DataFrame, plane: SeriesPlane, presence: float = 0.001) -> DataFrame:
+    """t, cluster, transient_phase, neutron_centre, xray_centre, cells, fraction, present: a row for each t and cluster."""
+    spark = hist.sparkSession
+    names = spark.createDataFrame([(j, j >= plane.persistent, float(a), float(b)) for j, (a, b) in enumerate(plane.centres)], "cluster int, transient_phase boolean, neutron_centre double, xray_centre double")
+    counts = hist.join(F.broadcast(plane.table(spark)), ["iy", "ix"]).groupBy("t", "cluster").agg(F.sum("count").alias("cells"))
+    totals = counts.groupBy("t").agg(F.sum("cells").alias("total"))
+    full = totals.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(len(plane.centres) - 1)))).join(counts, ["t", "cluster"], "left").join(F.broadcast(names), "cluster")
+    cells = F.coalesce("cells", F.lit(0))
+    fraction = cells / F.col("total")
+    return full.select("t", "cluster", "transient_phase", "neutron_centre", "xray_centre", cells.alias("cells"), fraction.alias("fraction"), (fraction >= presence).alias("present"))
+
+
+def cluster_series(cells: DataFrame, grid: Grid, k: int, transient: bool = True, emphasise_small: bool = False) -> DataFrame:
+    """The timeline of a series: cells are counted by bin on the executors, once; its clusters are k persistent ones, then the transient islands."""
+    hist = _table(histogram(cells, grid))
+    return timeline(hist, series_plane(hist, grid, k, transient, emphasise_small))
 
 
 def cluster_cells(cells: DataFrame, k: int, seed: int = 42) -> DataFrame:

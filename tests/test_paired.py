@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, Region, bin_of, class_of, in_any, in_polygon
-from duovox.operators import clusters, histograms, materials, quantiles, spatial, statistics
+from duovox.operators import clusters, histograms, islands, materials, quantiles, spatial, statistics
 
 NAN, INF = float("nan"), float("inf")
 
@@ -214,8 +214,67 @@ def test_clusters_of_a_series(spark):
     rng = np.random.default_rng(7)
     rows = [(t, float(a), float(b)) for t in (0, 1) for c in ((0, 0), (50, 50)) for a, b in rng.normal(c, 1, (40, 2))]
     table = cells(spark, rows)
-    got = clusters.cluster_series(table, histograms.plane_grid(table, 16), 2).collect()
-    assert len(got) == 4 and all(r.cells == 40 and r.fraction == 0.5 for r in got)
+    got = clusters.cluster_series(table, histograms.plane_grid(table, 16), 2, transient=False).collect()
+    assert len(got) == 4 and all(r.cells == 40 and r.fraction == 0.5 and r.present and not r.transient_phase for r in got)
+
+
+def plain_islands(hist, t_count, bins):
+    """Masks of islands, the largest first: each step as it is stated, bin by bin."""
+    stack = np.zeros((t_count, bins, bins))
+    for (t, y, x), n in hist.items():
+        stack[t, y, x] = n
+    weight = [math.exp(-k * k / 2) for k in range(-4, 5)]
+    blurred = stack
+    for axis in (1, 2):
+        wide = np.pad(blurred, [(4, 4) if i == axis else (0, 0) for i in range(3)], mode="symmetric")
+        blurred = sum(w / sum(weight) * np.take(wide, range(k, k + bins), axis) for k, w in enumerate(weight))
+    share = (blurred >= 0.5).mean(axis=0)
+    near = lambda y, x: [(v, u) for v in range(max(0, y - 1), min(bins, y + 2)) for u in range(max(0, x - 1), min(bins, x + 2))]
+    spots = {at for at in np.ndindex(bins, bins) if 0 < share[at] < 0.5}
+    for _ in range(4):
+        spots |= {b for a in spots for b in near(*a) if share[b] < 0.5}
+    out = []
+    while spots:
+        todo, own = [min(spots)], set()
+        while todo:
+            at = todo.pop()
+            if at in spots:
+                spots.remove(at)
+                own.add(at)
+                todo += near(*at)
+        each = sum(stack[:, y, x] for y, x in own)
+        if each.max() >= 10 and each.max() >= np.median(each) + 5 * math.sqrt(np.median(each) + 1) and each.min() <= 0.2 * each.max():
+            out.append((-each.max(), min(own), own))
+    return [(-p, own) for p, _, own in sorted(out)]
+
+
+def test_transient_islands(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, *c) for t in range(5) for c in rng.normal((10, 10), 1.5, (400, 2)).tolist()]
+    rows += [(t, *c) for t, at, n in ((1, (30, 30), 60), (3, (5, 35), 90), (2, (35, 4), 6)) for c in rng.normal(at, 0.5, (n, 2)).tolist()]
+    table = cells(spark, [*rows, (0, 0.0, 0.0), (0, 40.0, 40.0), (0, NAN, 1.0), (1, None, 2.0), (1, 3.0, INF)])
+    grid = histograms.plane_grid(table, 40)
+    hist = histograms.histogram(table, grid)
+    plane, peaks = islands.transient_islands(hist, 40)
+    want = plain_islands({(r.t, r.iy, r.ix): r["count"] for r in hist.collect()}, 5, 40)
+    assert len(peaks) >= 2 and peaks == [p for p, _ in want] and all({tuple(map(int, a)) for a in zip(*np.nonzero(plane == k))} == own for k, (_, own) in enumerate(want))
+    counts = {(r.island, r.t): r.cells for r in islands.island_counts(hist, plane, peaks).collect()}
+    assert len(counts) == 5 * len(peaks) and [max(counts[k, t] for t in range(5)) for k in range(len(peaks))] == peaks
+    found = clusters.series_plane(hist, grid, 2)
+    assert len(found.centres) == 2 + len(peaks) and (found.labels >= 2).sum() == (plane >= 0).sum()
+    line = clusters.timeline(hist, found).collect()
+    labelled = clusters.label_cells(table.withColumn("cluster", F.lit("old")), found)
+    assert labelled.columns == ["t", "neutron", "xray", "cluster"] and labelled.where("cluster = -1").count() == 3
+    of_cells = {(r.t, r.cluster): r["count"] for r in labelled.where("cluster >= 0").groupBy("t", "cluster").count().collect()}
+    assert len(line) == 5 * len(found.centres) and of_cells == {(r.t, r.cluster): r.cells for r in line if r.cells}
+    assert {(r.cluster, r.t) for r in line if r.transient_phase and r.present} == {(k + 2, t) for (k, t), n in counts.items() if n and n / sum(r.cells for r in line if r.t == t) >= 0.001}
+
+
+def test_no_islands_without_two_timepoints(spark):
+    for rows in ([], [(0, 1.0, 1.0), (0, 9.0, 9.0)]):
+        table = spark.createDataFrame([(t, 1, 1, 5) for t, *_ in rows], "t int, iy int, ix int, count long")
+        plane, peaks = islands.transient_islands(table, 8)
+        assert peaks == [] and (plane == -1).all() and islands.island_counts(table, plane, peaks).count() == 0
 
 
 def test_hourly_windows_on_a_stream(spark, tmp_path):
