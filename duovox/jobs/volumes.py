@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duovox.jobs.registry import _B, _CLASS, _G, _MATCH, _R, _V, BINS, QUERIES, REGIONS, SQL, lineitem_grid, query
+from duovox.jobs.registry import _B, _CLASS, _G, _MATCH, _P, _R, _V, BINS, QUERIES, REGIONS, SQL, lineitem_grid, lineitem_hist, query
 from duovox.operators import boxes, clusters, histograms, islands, materials, spatial, statistics, stencils
 from duovox.sources.paired import grid_events, grid_series, paired_lineitem, with_labels
 
@@ -309,3 +309,17 @@ def kmeans_islands(spark, sf_dir):
     """Cells of each cluster, islands included, from the label of every cell."""
     rows, grid, hist = seasons(spark, sf_dir)
     return clusters.label_cells(rows, clusters.series_plane(hist, grid, 2)).groupBy("t", "cluster").agg(F.count("*").alias("cells"))
+
+
+@query("hist_correlation", f"WITH {_P} SELECT t, round((sum(p * q) - sum(p) * sum(q) / 4096) / sqrt((sum(p * p) - sum(p) * sum(p) / 4096) * (sum(q * q) - sum(q) * sum(q) / 4096)), 6) AS pearson FROM q GROUP BY t")
+def hist_correlation(spark, sf_dir):
+    return histograms.correlation(lineitem_hist(spark, sf_dir)[0], BINS)
+
+
+_ENDS = f"{_V}, r AS (SELECT quantile_cont(neutron, 0.0005) AS n0, quantile_cont(neutron, 0.9995) AS n1, quantile_cont(xray, 0.0005) AS x0, quantile_cont(xray, 0.9995) AS x1 FROM f)"
+
+
+@query("hist_robust", f"WITH {_ENDS} SELECT t, greatest(0, least(63, floor((xray - x0) / (x1 - x0) * 64)))::INTEGER AS iy, greatest(0, least(63, floor((neutron - n0) / (n1 - n0) * 64)))::INTEGER AS ix, count(*) AS count FROM f, r WHERE neutron BETWEEN n0 AND n1 AND xray BETWEEN x0 AND x1 GROUP BY ALL")
+def hist_robust(spark, sf_dir):
+    cells = paired_lineitem(spark, sf_dir)
+    return histograms.histogram(cells, histograms.robust_grid(cells, BINS), outside="drop")

@@ -98,6 +98,25 @@ def divergence(hist: DataFrame) -> DataFrame:
     return full.groupBy("t").agg(F.sum((part("p") + part("q")) / 2).alias("jensen_shannon"), F.sum(mutual).alias("mutual_bits"))
 
 
+def correlation(hist: DataFrame, bins: int) -> DataFrame:
+    """t, pearson: how the shares of all bins x bins bins, empty ones too, correlate with those of the first t; null where either is even."""
+    full = shares(hist).withColumn("q", against("p", ["iy", "ix"], "first"))
+    spread = lambda a, b: F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / bins**2
+    both = spread("p", "p") * spread("q", "q")
+    return full.groupBy("t").agg(F.when(both > 0, spread("p", "q") / F.sqrt(both)).alias("pearson"))
+
+
+def robust_grid(cells: DataFrame, bins: int = 64, tail: float = 0.0005) -> Grid:
+    """The grid between two quantiles, `tail` from either end, of each channel over all t: outliers don't stretch it. Both are exact, over all finite pairs."""
+    from duovox.operators.quantiles import exact_quantiles
+
+    side = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in ("neutron", "xray")]))
+    ends = {r["channel"]: r["q"] for r in exact_quantiles(cells.where(both_finite()).select(side.alias("s")).select("s.*"), ["channel"], "v", [tail, 1 - tail]).collect()}
+    if not ends:
+        raise ValueError("no finite pairs")
+    return Grid(*ends["neutron"], *ends["xray"], bins)
+
+
 def mutual_information(hist: DataFrame) -> DataFrame:
     """t, mutual_nats of each t's own histogram."""
     full = hist.withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("t")))

@@ -218,6 +218,25 @@ def test_clusters_of_a_series(spark):
     assert len(got) == 4 and all(r.cells == 40 and r.fraction == 0.5 and r.present and not r.transient_phase for r in got)
 
 
+def test_correlation_of_histograms(spark):
+    rng = np.random.default_rng(9)
+    stack = rng.integers(0, 5, (3, 6, 6))
+    rows = [(t, y, x, int(stack[t, y, x])) for t, y, x in np.ndindex(stack.shape) if stack[t, y, x]]
+    got = {r.t: r.pearson for r in histograms.correlation(spark.createDataFrame(rows, "t int, iy int, ix int, count long"), 6).collect()}
+    assert got == pytest.approx({t: np.corrcoef(stack[0].ravel(), stack[t].ravel())[0, 1] for t in range(3)})
+    even = spark.createDataFrame([(t, y, x, 1) for t, y, x in np.ndindex(2, 2, 2)], "t int, iy int, ix int, count long")
+    assert [r.pearson for r in histograms.correlation(even, 2).collect()] == [None, None]
+
+
+def test_robust_grid(spark):
+    values = np.random.default_rng(4).normal(size=(3000, 2)).tolist()
+    grid = histograms.robust_grid(cells(spark, [*[(0, *v) for v in values], (1, NAN, 1e9), (1, None, 1e9)]), 8, tail=0.01)
+    n, x = zip(*values)
+    assert (grid.n_lo, grid.n_hi, grid.x_lo, grid.x_hi) == pytest.approx((*np.quantile(n, [0.01, 0.99]), *np.quantile(x, [0.01, 0.99])))
+    with pytest.raises(ValueError):
+        histograms.robust_grid(cells(spark, [(0, NAN, 1.0)]), 8)
+
+
 def plain_islands(hist, t_count, bins):
     """Masks of islands, the largest first: each step as it is stated, bin by bin."""
     stack = np.zeros((t_count, bins, bins))
