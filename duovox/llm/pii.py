@@ -37,7 +37,8 @@ SURE = 0.95
 WINDOW = 384
 _digit = re.compile("[0-9]")
 _anchor = re.compile(r"[0-9@]+|[\[(](?:at|AT)[\])]")
-_grouped = re.compile(r"[0-9]+([ ./-]?[0-9]+)*")
+#: Each text has one parse: with an optional separator a long number would be split in exponentially many ways.
+_grouped = re.compile(r"[0-9]+(?:[ ./-][0-9]+)*")
 _token = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,25 @@ def test_long_text_without_white_space(field):
         assert len(pii.windows(text)) >= 1 and all(0 <= a < b <= len(text) for a, b in pii.windows(text))
 
 
+def test_long_numbers_take_linear_time(field):
+    """A number of any length before any sign: a grouped number has one parse."""
+    for n in (20, 27, 40, 64):
+        for end in (", thanks", ". x", "; 4", ":", "/"):
+            text = f"the number is {'7' * n}{end}"
+            began = time.perf_counter()
+            pii.added_spans(text, pii.base_spans(text), field)
+            assert time.perf_counter() - began < 0.5, (n, end)
+    chars = random.Random(1)
+    text = "".join(chars.choice("0123456789,") for _ in range(20_000))
+    began = time.perf_counter()
+    pii.added_spans(text, pii.base_spans(text), field)
+    assert time.perf_counter() - began < 30
+    old, new = re.compile(r"[0-9]+([ ./-]?[0-9]+)*"), pii._grouped
+    for _ in range(3000):
+        s = "".join(chars.choice("12 .-/,a") for _ in range(chars.randrange(1, 12)))
+        assert bool(old.fullmatch(s)) == bool(new.fullmatch(s)), s
+
+
 def test_sums_and_best_against_all_segmentations():
     text = "12345678 9@1"
     lattice = pii.Lattice(text, 0, len(text))
