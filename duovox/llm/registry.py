@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, huffman, lines, media, near, packing, pii, quality, secrets, topk
+from duovox.llm import bpe, divergence, huffman, infill, lines, media, near, packing, pii, quality, secrets, topk
 from duovox.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,8 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "op11_infill": op11_infill,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL}
+SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL, "op11_infill": infill.SQL, "op13_source_divergence": divergence.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
