@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duovox.llm import bpe, divergence, huffman, infill, lines, media, near, packing, pii, quality, secrets, topk
+from duovox.llm import bpe, divergence, huffman, infill, lines, media, near, packing, pii, quality, repeats, secrets, topk
 from duovox.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
 
@@ -84,9 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
     "op11_infill": op11_infill,
+    "op12_repeats": op12_repeats,
     "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL, "op11_infill": infill.SQL, "op13_source_divergence": divergence.SQL}
+SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op5_top_k": topk.SQL, "op11_infill": infill.SQL, "op12_repeats": repeats.SQL, "op13_source_divergence": divergence.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
