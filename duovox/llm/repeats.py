@@ -192,7 +192,7 @@ def repeats_digest(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 k AS (SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS passage, count(*) OVER ahead AS n FROM u WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
 r AS (SELECT passage FROM k WHERE n = 35 GROUP BY passage HAVING count(*) > 1),
