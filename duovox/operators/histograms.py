@@ -166,9 +166,9 @@ def variable_bins(hist: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
     return each.where(F.col("most") >= least).orderBy(F.desc("spread"), "iy", "ix").limit(top).select("iy", "ix", "spread")
 
 
-def moments(cells: DataFrame, grid: Grid) -> DataFrame:
-    """t, iy, ix, c and the sums sn, sx, snn, sxx, snx of each occupied bin: all that later scoring needs. Pairs outside the grid are left out."""
+def moments(cells: DataFrame, grid: Grid, by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """t (or by), iy, ix, c and the sums sn, sx, snn, sxx, snx of each occupied bin: all that later scoring needs. Pairs outside the grid are left out."""
     n, x = F.col("neutron"), F.col("xray")
-    return binned(cells, grid, "drop").groupBy("t", "iy", "ix").agg(
+    return binned(cells, grid, "drop").groupBy(*by, "iy", "ix").agg(
         F.count("*").alias("c"), F.sum(n).alias("sn"), F.sum(x).alias("sx"), F.sum(n * n).alias("snn"), F.sum(x * x).alias("sxx"), F.sum(n * x).alias("snx"),
     )

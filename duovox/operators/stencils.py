@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duovox.operators.ship import shipped
 from duovox.operators.spatial import AXES
 
 TILE = (32, 64, 64)
@@ -25,6 +26,7 @@ def tiled(cells: DataFrame, values: list[str], halo: int, run: Callable[..., dic
     border cuts off on both sides of each axis; it returns arrays over the tile alone. A cell is copied to the tiles whose halo it
     lies in; tile edges of at least the halo keep that to 27 copies, and far fewer for thin halos.
     """
+    shipped(cells.sparkSession)
     ends = cells.agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]).first()
     low = np.array([ends[f"min_{a}"] or 0 for a in AXES])
     high = np.array([(ends[f"max_{a}"] or 0) + 1 for a in AXES])
