@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, Region, class_of, in_any
-from duovox.operators import clusters, histograms, materials, spatial, statistics
+from duovox.operators import clusters, histograms, materials, smoothing, spatial, statistics
 from duovox.sources.paired import grid_events, paired_lineitem, with_labels
 from duovox.streaming import windows
 
@@ -417,9 +417,9 @@ def region_grow(spark, sf_dir):
 
 @query("mrf_icm")
 def mrf_icm(spark, sf_dir):
-    """Cells by label after smoothing with one beta for all pairs of unlike labels; edge weights and the pairwise matrix are left out."""
-    cells = grid_events(spark, sf_dir).withColumns({f"u{k}": F.abs(F.col("xray") - centre) / 33 for k, centre in enumerate((17.0, 50.0, 83.0))})
-    return spatial.icm(cells, ["u0", "u1", "u2"], 0.2).groupBy("t", "z", "label").agg(F.count("*").alias("n"))
+    """Cells by label after smoothing with one cost for all pairs of unlike labels; icm_costs and mean_field have learned costs and edge weights."""
+    cells = grid_events(spark, sf_dir).withColumns({f"u{k}": -F.abs(F.col("xray") - centre) / 33 for k, centre in enumerate((17.0, 50.0, 83.0))})
+    return smoothing.smoothed(cells, ["u0", "u1", "u2"], 0.2, method="icm").groupBy("t", "z", "label").agg(F.count("*").alias("n"))
 
 
 @query("kmeans_series")

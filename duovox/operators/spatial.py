@@ -7,12 +7,16 @@ axis, not of the volume.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duovox.operators.ship import shipped
+
 AXES = ("z", "y", "x")
 
 
@@ -109,33 +113,86 @@ def near_pairs(cells: DataFrame, value: str, reach: int) -> DataFrame:
     return asked.join(cells.select("t", *AXES, F.col(value).alias("b")), ["t", *AXES]).select("a", "b")
 
 
-def connected(cells: DataFrame, mask: Column, reach: int = 1, apart: str | None = None) -> DataFrame:
-    """t, z, y, x, component of the cells in a mask: components by faces (reach 1), edges (2) or corners (3), named by their least cell.
-    apart: a column whose values part components too.
-
-    Each round takes the least label among face neighbours, then that label's own label; rounds are tables in the shared folder
-    and their number grows with the logarithm of a component's length.
+def tile_components(cells: DataFrame, reach: int, tile: tuple[int, int, int], low: tuple[int, int, int]) -> DataFrame:
+    """t, z, y, x, part, comp: components within tiles of cells (t, z, y, x, id, part), named by their least id. A group is one tile."""
+    steps = [s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0) and sum(map(abs, s)) <= reach]
+    number = [F.floor((F.col(a) - lo) / n).cast("int").alias(f"_{a}") for a, lo, n in zip(AXES, low, tile)]
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", kind="stable")
+        at = np.array([f[a] for a in AXES]).T
+        at -= at.min(0)
+        place = np.full(at.max(0) + 3, -1, np.int64)  # a rim of missing cells
+        place[tuple(at.T + 1)] = np.arange(len(f))
+        part = pd.factorize(f["part"], use_na_sentinel=False)[0]
+        a, b = [], []
+        for s in steps:
+            other = place[tuple((at + 1 + s).T)]
+            here = np.flatnonzero(other >= 0)
+            here = here[part[here] == part[other[here]]]
+            a.append(here)
+            b.append(other[here])
+        a, b = np.concatenate(a), np.concatenate(b)
+        name = np.arange(len(f))
+        while True:  # every name takes the least name that it touches, then that name's own
+            new = name.copy()
+            least = np.minimum(name[a], name[b])
+            np.minimum.at(new, name[a], least)
+            np.minimum.at(new, name[b], least)
+            while (new[new] != new).any():
+                new = new[new]
+            new = new[name]
+            if (new == name).all():
+                break
+            name = new
+        return f[["t", *AXES, "part"]].assign(comp=f["id"].to_numpy()[name])
+
+    kind = cells.schema["part"].dataType.simpleString()
+    return cells.select("t", *AXES, "id", "part", *number).groupBy("t", *[f"_{a}" for a in AXES]).applyInPandas(one, f"t int, z int, y int, x int, part {kind}, comp long")
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """node, root of the nodes of links (a, b): root is the least node of its component. Each round hooks a node to its least neighbour and then to that one's,
+    and contracts the links by the new names; rounds are tables in the shared folder and shrink fast."""
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
+    edges, roots = _table(ordered(links, "a", "b")), None
+    while edges.limit(1).count():
+        hook = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("up"))
+        jump = _table(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"))
+        if roots is None:
+            roots = jump.select("node", F.col("top").alias("root"))
+        else:
+            roots = _table(roots.join(jump.select(F.col("node").alias("root"), "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        top = lambda c: jump.select(F.col("node").alias(c), F.col("top").alias(f"t{c}"))
+        edges = _table(ordered(edges.join(top("a"), "a").join(top("b"), "b"), "ta", "tb"))
+    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+
+
+def connected(cells: DataFrame, mask: Column, reach: int = 1, apart: str | None = None, tile: tuple[int, int, int] = (32, 64, 64)) -> DataFrame:
+    """t, z, y, x, component of the cells in a mask: components by faces (reach 1), edges (2) or corners (3), named by their least cell: a number
+    that counts cells from the least coordinates, negative ones too. apart: a column whose values part components too.
+
+    Components within tiles come first, in one task for each tile. Only cells in the outer layers of tiles look for neighbours in other ones, and their
+    links, by component, are merged in rounds that contract them. Without cells in the mask there are no rows.
     """
-    spans = cells.agg(*[F.max(a) for a in AXES]).first()
+    spans = cells.agg(*[f(a) for a in ("t", *AXES) for f in (F.min, F.max)]).first()
     if spans[0] is None:
         return cells.select("t", *AXES, F.lit(None).cast("long").alias("component"))
-    ny, nx = spans[1] + 1, spans[2] + 1
-    ident = ((F.col("t").cast("long") * (spans[0] + 1) + F.col("z")) * ny + F.col("y")) * nx + F.col("x")
+    (t0, _), *ends = [(spans[2 * k], spans[2 * k + 1]) for k in range(4)]
+    low, (nz, ny, nx) = tuple(e[0] for e in ends), (e[1] - e[0] + 1 for e in ends)
+    at = [F.col(a).cast("long") - lo for a, lo in zip(AXES, low)]
+    ident = (((F.col("t").cast("long") - t0) * nz + at[0]) * ny + at[1]) * nx + at[2]
     part = F.lit(0) if apart is None else F.col(apart)
-    inside = _table(cells.where(mask).select("t", *AXES, ident.alias("id"), part.alias("part")))
-    pairs = near_pairs(inside.withColumn("_v", F.struct("id", "part")), "_v", reach)
-    edges = _table(pairs.where("a.part <=> b.part").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-    inside = inside.drop("part")
-    both = edges.union(edges.select("b", "a"))
-    labels = inside.select("id", F.col("id").alias("component"))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        new = _table(step.join(jump, "mid").select("id", "was", F.least("mid", "far").alias("component")))
-        labels = new.select("id", "component")
-        if not new.where("component != was").limit(1).count():
-            return inside.join(labels, "id").drop("id")
+    shipped(cells.sparkSession)
+    found = _table(tile_components(cells.where(mask).select("t", *AXES, ident.alias("id"), part.alias("part")), reach, tile, low))
+    rest = [F.pmod(F.col(a) - lo, F.lit(n)) for a, lo, n in zip(AXES, low, tile)]
+    outer = reduce(lambda p, q: p | q, [(r == 0) | (r == n - 1) for r, n in zip(rest, tile)])
+    tiled = F.struct(*[F.floor((F.col(a) - lo) / n).alias(a) for a, lo, n in zip(AXES, low, tile)])
+    pairs = near_pairs(found.where(outer).withColumn("_v", F.struct("comp", "part", tiled.alias("tile"))), "_v", reach)
+    links = pairs.where("a.tile != b.tile AND a.part <=> b.part").select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b"))
+    roots = merged(links)
+    named = found.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+    return named.select("t", *AXES, F.coalesce("root", "comp").alias("component"))
 
 
 def grown(cells: DataFrame, seed: tuple[int, int, int, int], channel: str | tuple[str, ...], tolerance: float | tuple[float, ...], reach: int = 1) -> DataFrame:
@@ -180,12 +237,8 @@ def interface_rows(cells: DataFrame, label: str = "label") -> DataFrame:
     return face_pairs(cells, label).where("a != b").groupBy("t", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).agg(F.count("*").alias("faces"))
 
 
-def edge_weights(cells: DataFrame) -> DataFrame:
-    """t, z, y, x, axis, weight of each face between two cells, named by the lower one: exp(-(gap / sigma)^2 / 2), 0 where a value isn't finite.
-
-    gap: joint step of both channels in units of their deviations; sigma: the mean finite gap of t, with the last layer along each axis
-    as gap 0 (axes of one layer don't count). Needs a full grid for the count of the last layers: the extents come from the data.
-    """
+def _gaps(cells: DataFrame) -> DataFrame:
+    """t, z, y, x, axis, gap and last of each face between two cells, with the deviations sn and sx of the channels of t."""
     fine = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c))
     unit = lambda c: F.coalesce(F.nullif(F.stddev_pop(fine(c)), F.lit(0.0)), F.lit(1.0))
     sizes = [(F.max(a) - F.min(a) + 1) for a in AXES]
@@ -198,48 +251,25 @@ def edge_weights(cells: DataFrame) -> DataFrame:
         one = cells.withColumn("_v", pair).select("t", *AXES, F.lit(axis).alias("axis"), F.col("_v").alias("a"), next_along(axis, "_v").alias("b")).where("b IS NOT NULL")
         faces = one if faces is None else faces.union(one)
     gap = F.sqrt(((F.col("b.n") - F.col("a.n")) / F.col("sn")) ** 2 + ((F.col("b.x") - F.col("a.x")) / F.col("sx")) ** 2)
-    gaps = faces.join(F.broadcast(scale), "t").select("t", *AXES, "axis", gap.alias("gap"), "last")
+    return faces.join(F.broadcast(scale), "t").select("t", *AXES, "axis", gap.alias("gap"), "last", "sn", "sx")
+
+
+def edge_scale(cells: DataFrame) -> DataFrame:
+    """t, sn, sx, sigma: the channels' deviations and the mean gap of faces, the units of edge weights (see edge_weights). A row for each t."""
     mean = F.sum("gap") / (F.count("gap") + F.first("last"))
-    sigma = gaps.groupBy("t").agg(F.greatest(F.coalesce(mean, F.lit(1.0)), F.lit(1e-6)).alias("sigma"))  # a row for each t
-    return gaps.join(F.broadcast(sigma), "t").select("t", *AXES, "axis", F.coalesce(F.exp(-0.5 * (F.col("gap") / F.col("sigma")) ** 2), F.lit(0.0)).alias("weight"))
+    return _gaps(cells).groupBy("t").agg(F.first("sn").alias("sn"), F.first("sx").alias("sx"), F.greatest(F.coalesce(mean, F.lit(1.0)), F.lit(1e-6)).alias("sigma"))
 
 
-def icm(cells: DataFrame, unaries: list[str], beta: float, sweeps: int = 5, slab: int = 16) -> DataFrame:
-    """t, z, y, x, label after synchronous sweeps: each cell takes the label of least unary cost plus beta for each unlike face neighbour.
+def edge_weights(cells: DataFrame) -> DataFrame:
+    """t, z, y, x, axis, weight of each face between two cells, named by the lower one: exp(-(gap / sigma)^2 / 2), 0 where a value isn't finite.
 
-    Slabs of z carry a halo of `sweeps` layers on both sides, so each slab's own cells come out as from the whole volume; slabs are
-    independent tasks of bounded size.
+    gap: joint step of both channels in units of their deviations; sigma: the mean finite gap of t, with the last layer along each axis
+    as gap 0 (axes of one layer don't count). Needs a full grid for the count of the last layers: the extents come from the data.
     """
-    index = F.floor(F.col("z") / slab)
-    copies = F.explode(F.filter(F.sequence(F.floor((F.col("z") - sweeps) / slab), F.floor((F.col("z") + sweeps) / slab)), lambda s: s >= 0))
-    rows = cells.select("t", *AXES, *unaries, index.alias("own")).withColumn("slab", copies)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        lo = f[list(AXES)].min()
-        at = tuple((f[a] - lo[a]).to_numpy() for a in AXES)
-        shape = tuple(int(a.max()) + 1 for a in at)
-        cost = np.full((*shape, len(unaries)), np.inf)
-        cost[at] = f[unaries].to_numpy(float)
-        there = np.zeros(shape, bool)
-        there[at] = True
-        label = np.where(there, np.where(there[..., None], cost, 0).argmin(-1), -1)
-        for _ in range(sweeps):
-            same = np.zeros((*shape, len(unaries)))
-            seen = np.zeros(shape)
-            for axis in range(3):
-                for shift in (1, -1):
-                    other = np.full(shape, -1)
-                    to, source = [slice(None)] * 3, [slice(None)] * 3
-                    to[axis], source[axis] = (slice(1, None), slice(None, -1)) if shift == 1 else (slice(None, -1), slice(1, None))
-                    other[tuple(to)] = label[tuple(source)]
-                    seen += other >= 0
-                    for k in range(len(unaries)):
-                        same[..., k] += other == k
-            label = np.where(there, (np.where(there[..., None], cost, 0) + beta * (seen[..., None] - same)).argmin(-1), -1)
-        out = f[["t", *AXES]].assign(label=label[at].astype(np.int32))
-        return out[f["own"] == f["slab"]]
-
-    return rows.groupBy("t", "slab").applyInPandas(run, "t int, z int, y int, x int, label int")
+    gaps = _gaps(cells)
+    mean = F.sum("gap") / (F.count("gap") + F.first("last"))
+    sigma = gaps.groupBy("t").agg(F.greatest(F.coalesce(mean, F.lit(1.0)), F.lit(1e-6)).alias("sigma"))  # a row for each t
+    return gaps.join(F.broadcast(sigma), "t").select("t", *AXES, "axis", F.coalesce(F.exp(-0.5 * (F.col("gap") / F.col("sigma")) ** 2), F.lit(0.0)).alias("weight"))
 
 
 def block_ids(cells: DataFrame, shape: tuple[int, int, int], grid: tuple[int, int, int] = (5, 5, 5)) -> DataFrame:

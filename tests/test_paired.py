@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, Region, bin_of, class_of, in_any, in_polygon
-from duovox.operators import clusters, histograms, islands, materials, quantiles, spatial, statistics
+from duovox.operators import clusters, histograms, islands, materials, quantiles, smoothing, spatial, statistics
 
 NAN, INF = float("nan"), float("inf")
 
@@ -176,8 +176,8 @@ def test_components_and_growing_against_search(spark):
 
 def test_slabs_smooth_like_the_whole_volume(spark):
     rng = np.random.default_rng(6)
-    table = volume(spark, rng.random((23, 4, 5))).withColumns({"u0": F.col("neutron"), "u1": 1 - F.col("neutron")})
-    results = [{tuple(r)[:4]: r.label for r in spatial.icm(table, ["u0", "u1"], 0.3, sweeps=3, slab=s).collect()} for s in (4, 7, 64)]
+    table = volume(spark, rng.random((23, 4, 5))).withColumns({"u0": -F.col("neutron"), "u1": F.col("neutron") - 1})
+    results = [{tuple(r)[:4]: r.label for r in smoothing.smoothed(table, ["u0", "u1"], 0.3, 3, "icm", tile=s).collect()} for s in ((4, 4, 4), (7, 64, 2), (64, 64, 64))]
     assert results[0] == results[1] == results[2] and len(results[0]) == 23 * 20
 
 
