@@ -58,3 +58,32 @@ def test_large_numbers_use_whole_arithmetic():
     vectors = np.array([[1 << 30, 1], [1 << 30, 2], [-(1 << 30), 5]])
     ids, score = topk.SortedLists(np.arange(3), vectors).top(-1, np.array([(1 << 30) + 1, 1]), 3)
     assert score.tolist() == [((1 << 30) + 1 << 30) + 2, ((1 << 30) + 1 << 30) + 1, -((1 << 30) + 1 << 30) + 5]
+
+
+def test_floors_keep_ties_and_skip_blocks():
+    lists = topk.SortedLists(np.arange(6), np.array([[5, 1], [4, 4], [3, 0], [3, 0], [0, 9], [-2, 2]]))
+    q = np.array([2, 1])
+    for floor in (None, 0, 6, 7, 11, 12, 13, 10**9):
+        ids, score = lists.top(-1, q, 3, floor)
+        want = sorted((-int(v @ q), i) for i, v in zip(lists.ids, lists.vectors))[:3]
+        assert list(zip(ids.tolist(), score.tolist())) == [(i, -s) for s, i in want if floor is None or -s >= floor]
+
+
+def test_rows_between_stages_grow_by_the_root_of_the_blocks(spark, monkeypatch):
+    """400 queries' worth of blocks: the later blocks give about k rows for each block of the first pass, not k each."""
+    rng = np.random.default_rng(8)
+    vectors = np.rint(rng.normal(size=(6400, 8)) * 1000).astype(np.int64)
+    blocks, k = 100, 10
+    parts = np.array_split(np.arange(6400), blocks)
+    q = np.rint(rng.normal(size=(20, 8)) * 1000).astype(np.int64)
+    later = 0
+    for v in q:
+        first = np.sort(vectors[np.concatenate(parts[:10])] @ v)[-k]
+        later += sum(len(topk.SortedLists(p, vectors[p]).top(-1, v, k, int(first))[0]) for p in parts[10:])
+    assert later / len(q) < 2.5 * k * 10 < k * 90
+
+
+def test_a_repeated_query_is_answered_by_its_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 7.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 2, 7 * 1024 * 1024), (0, 2, 1, 0)]
