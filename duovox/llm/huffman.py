@@ -25,6 +25,8 @@ BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 24
 #: Ids drawn for each file to set the files' bounds.
 SAMPLES = 100
+#: Files at most: beyond FILES * FILE_IDS ids files grow instead, so bounds, file sizes and draws (FILES * SAMPLES at most, 16 MB) stay bounded.
+FILES = 20_000
 BLOCK_TYPE = "file int, block int, first_id long, doc_ids array<long>, counts array<int>, code binary, marks binary"
 
 
@@ -163,7 +165,7 @@ def file_bounds(tokens: DataFrame, files: int, total: int, width: int) -> np.nda
     """Ascending doc_ids that end all files but the last, so that files have about the same number of ids.
 
     Every (total / files / SAMPLES)th id or so is drawn, evenly and by hash, and its document noted: about SAMPLES rows of 8 bytes for
-    each file reach the driver, however many documents there are.
+    each of at most FILES files reach the driver, however many documents there are.
     """
     share = F.octet_length("ids") / F.lit(width * total / (files * SAMPLES)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     drawn = tokens.select(sort_id().alias("at"), F.floor(share).cast("int").alias("n")).where("n > 0")
@@ -196,7 +198,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, li
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "bits": lengths[lengths > 0].astype(int)})
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     total = int(counts.sum())
-    files = max(1, -(-total // file_ids))
+    files = min(FILES, max(1, -(-total // file_ids)))
     bounds = file_bounds(tokens, files, total, width) if files > 1 else np.empty(0, np.int64)
     shared = spark.sparkContext.broadcast((lengths, bounds))
 
