@@ -27,6 +27,17 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_={FILL}-])[A-Za-z0-9+/_={FILL}-]{{16,}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
 SYMBOLS = 66
 SCALE = 1000
+#: Common words of code, paths and addresses, and the rows of a keyboard, for ordinary names that a corpus may lack.
+CODE_WORDS = (
+    "access account action admin agent alias app archive array asset async auth backend backup base batch block board body bootstrap branch browser buffer build bundle button cache call channel check child class client cloud cluster code command common "
+    "component config connection console content context controller core count create custom dashboard data database date debug default delete deploy description detail dev directory dist docs document domain download driver edit element email enable engine "
+    "entry error event example export extension factory feature field file filter folder footer format frame framework function gateway global group handler header health helper history home host html http image import index info init input install instance "
+    "interface internal item job json kernel key lambda language layout library link linux list loader local log login main manager map master memory menu message method model module monitor network node number object option order output package page param "
+    "parser password path payment pipeline platform plugin policy port prefix private process product profile project property protocol provider proxy public query queue react record reference registry release remote report repository request require reset "
+    "resource response result role root route runtime sample schema scope script search security select server service session setting shared socket source stack standard state static status storage store stream string style support switch system table target "
+    "task template test text theme thread time token tool tracking transaction transform type unit update upload user util value variable vendor version video view virtual web webpack widget window worker workspace write www"
+).split()
+KEY_ROWS = "qwertyuiopasdfghjklzxcvbnmqwertyuiop"
 #: Matches whose places are summed up in one go; their lists are put together after that.
 RUN = 128
 
@@ -106,7 +117,8 @@ def labelled_samples(docs: DataFrame, documents: int = 4000) -> DataFrame:
     Which documents: those whose hashed text falls in a share that is set by their number, so every run takes the same, and
     copies of one text are taken all or not at all. Random: what the patterns' keys hold there, and digests of the texts in base 64,
     letters and digits, lower case, and capitals. Ordinary: all other runs of 8 or more identifier characters that have no digit or are
-    short, and names put together by rule from the texts' words and numbers: UUIDs, dates, versions, paths, numbered and compound names.
+    short, and names put together by rule from the texts' words and numbers: UUIDs, dates, versions, paths, numbered and compound names; and
+    paths, code-like and upper-case names of common words, and rows of a keyboard.
     """
     total = docs.count()
     share = max(1, math.ceil(total / documents))
@@ -124,9 +136,12 @@ def labelled_samples(docs: DataFrame, documents: int = 4000) -> DataFrame:
 
 
 def compound_names(digest: Column, words: Column) -> list[Column]:
-    """Ordinary names of 16 or more characters, most of them with digits, by rule from a text's words and numbers out of its digest."""
+    """Ordinary names of 16 or more characters, most of them with digits, by rule from a text's words, common words of code, and numbers out of its digest; some are null."""
     number = lambda k, below: F.pmod(F.conv(F.substring(digest, 4 * k + 1, 12), 16, 10).cast("long"), F.lit(below))
     word = lambda k: F.coalesce(F.get(words, F.pmod(F.conv(F.substring(digest, 5 * k + 1, 12), 16, 10).cast("long"), F.greatest(F.size(words), F.lit(1))).cast("int")), F.lit("item"))
+    known = F.split(F.lit(" ".join(CODE_WORDS)), " ")  # one literal
+    code = lambda k: F.get(known, number(k, len(CODE_WORDS)).cast("int"))
+    row = F.substring(F.lit(KEY_ROWS), (number(6, 10) + 1).cast("int"), F.lit(20))
     two = lambda k, below, least=1: F.lpad((number(k, below) + least).cast("string"), 2, "0")
     date = lambda sep: F.concat_ws(sep, (number(1, 60) + 1980).cast("string"), two(2, 12), two(3, 28))
     time = lambda sep: F.concat_ws(sep, two(4, 24, 0), two(5, 60, 0), two(6, 60, 0))
@@ -137,6 +152,8 @@ def compound_names(digest: Column, words: Column) -> list[Column]:
         F.concat(date(""), F.lit("T"), time(""), F.lit("Z-"), word(1)), F.concat(word(2), F.lit("_"), date("-"), F.lit("-"), time("-")),
         F.concat(F.initcap(word(3)), F.initcap(word(4)), F.initcap(word(5)), number(5, 1000)), F.concat_ws("/", word(6), word(7), word(8), number(6, 100)),
         F.upper(F.concat_ws("_", word(9), word(1), word(3))), F.concat_ws("-", word(2), word(4), F.concat(F.lit("v"), number(7, 20)), number(8, 20), number(9, 200)),
+        F.concat_ws("/", F.concat_ws("_", code(1), code(2)), F.concat_ws("-", code(3), code(4), code(5))), F.concat_ws("/", code(6), code(7), code(8), code(9)), F.concat(code(2), F.initcap(code(4)), F.initcap(code(6)), F.initcap(code(8))),
+        F.upper(F.concat_ws("_", code(3), code(5), code(7))), F.concat_ws("-", code(1), code(9), code(4), number(2, 100)), F.concat(F.initcap(code(5)), F.initcap(code(1)), F.initcap(code(3)), F.initcap(code(8))), F.when(number(1, 8) == 0, row).otherwise(F.when(number(1, 8) == 1, F.upper(row))),
     ]
 
 

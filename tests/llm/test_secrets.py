@@ -138,3 +138,22 @@ def test_ordinary_names_with_digits_are_no_secrets(spark):
     names = [n for n in names if len(n) >= 16]
     got = [bool(r._markov) for r in secrets.with_secrets(frame(spark, [f"see {n} now" for n in names + secret]), model).orderBy("doc_id").collect()]
     assert sum(got[: len(names)]) <= 1 and sum(got[len(names) :]) >= 49
+
+
+NAMES = """node_modules/webpack-dev-server QWERTYUIOPASDFGH src/main/java/com/acme/inventory AbstractSingletonProxyFactoryBean DEFAULT_MAX_RETRY_ATTEMPTS getUserAccountBalance
+usr/local/share/applications test_user_login_with_invalid_credentials content-security-policy asdfghjklzxcvbnm /home/deploy/releases/current/config org/springframework/boot/autoconfigure HTTP_REQUEST_HEADER_FIELDS_TOO_LARGE
+internationalization wp-content/uploads/2019/04/header-image kubernetes-dashboard-admin application/octet-stream INSUFFICIENT_PERMISSIONS handleSubmitButtonClick bootstrap-datepicker/dist/css""".split()
+
+
+def test_names_of_code_paths_and_capitals_are_no_secrets(spark):
+    """The corpus has none of these words; none of these names is in the rules' lists. A secret that no pattern knows is found to its exact ends."""
+    rnd = random.Random(17)
+    docs = [" ".join("".join(rnd.choice(["th", "er", "in", "tion", "re", "an", "ou", "st", "ble"]) for _ in range(3)) for _ in range(60)) for _ in range(300)]
+    secret = ["".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(rnd.choice([20, 24, 32, 40]))) for _ in range(60)]
+    planted = [f"{d} see {s} there" for d, s in zip(docs, secret)]
+    rows = [*docs, *[f"see {n} now" for n in NAMES], *planted]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(frame(spark, rows)).collect()}
+    flagged = [n for i, n in enumerate(NAMES) if got[len(docs) + i]]
+    assert len(flagged) <= 1, flagged
+    exact = sum(got[len(docs) + len(NAMES) + i] == f"markov:{len(d) + 5}:{len(d) + 5 + len(s)}" for i, (d, s) in enumerate(zip(docs, secret)))
+    assert exact >= 59
