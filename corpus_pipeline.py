@@ -16,17 +16,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it learns from the labelled ones among docs that aren't held out."""
+    """Documents that the quality classifier doesn't reject; it learns from the labelled ones among docs that aren't held out.
+
+    Rows stay or go by their own text, whole and of any length: repeated rows, and rows that share an id, alike where their texts are. Null and
+    empty texts get the score of no words. Null ids have no label, so nothing is learned from them. Without labelled documents nothing
+    is rejected; an empty table stays empty. Other columns, of any name, stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.accepted(docs, labels)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the lines that three or more documents share; n_chars follows the text."""
-    kept = lines.without_shared_lines(docs)
+    """Texts less the lines that three or more documents share; n_chars follows the text.
+
+    Documents are told apart by id: repeated rows of one id count once and are treated alike, rows with a null id are one document, the first of all.
+    Null texts stay null. Lines of any length are hashed whole. An empty table stays empty; other columns stay as they are, those named
+    n_lines and n_dropped too.
+    """
+    aside = {c: _free(f"own_{c}", docs.columns) for c in ("n_lines", "n_dropped") if c in docs.columns}
+    kept = lines.without_shared_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
+    kept = kept.withColumnsRenamed({new: old for old, new in aside.items()})
     return kept.withColumn("n_chars", counted(docs)).select(*docs.columns)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of least doc_id, of each group of near duplicates. A document without words is a group of its own.
 
@@ -47,12 +65,20 @@ def least_row(docs: DataFrame, key: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets masked; n_chars follows the text."""
+    """Texts with secrets masked; n_chars follows the text.
+
+    Every row stays, with all other columns, whatever its id; null and empty texts stay as they are, repeated rows stay repeated, long texts are
+    scanned whole, an empty table stays empty.
+    """
     return secrets.redacted(docs).withColumn("n_chars", counted(docs)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 2048 tokens."""
+    """Where each piece of each document goes in sequences of 2048 tokens.
+
+    Every row is a document of its own, repeated ones and those with a null id too; null and empty texts have the end id alone; long texts are cut
+    into pieces of 2048. Other columns end here; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
