@@ -98,3 +98,29 @@ def test_classifier_learns_only_from_rows_that_are_not_held_out(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     used = quality.training_rows(docs, labels)
     assert used.where("crc32(cast(doc_id AS string)) % 5 = 0").count() == 0 and used.count() > 150
+
+
+def test_edges_of_all_stages(spark, folder):
+    """Null and repeated ids, null, empty and long texts, columns with the names that the operators use, and empty tables."""
+    real = spark.read.parquet(f"{folder}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 99, 88, "s", 0.5) for r in real]
+    text = real[0].text
+    rows += [(None, t, None, None, None, 1, 2, None, None) for t in (None, "", text, text, "word " * 60_000)] + [rows[1]] * 2 + [(10**17 + 1, None, "en", "x", 0, 7, 7, "s", 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped int, _text string, _score double"
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.collect() == [], name
+        out = stage(spark, docs, folder)
+        got = out.collect()
+        if name == "packing":
+            assert len({(r.doc_id, r.sequence_id, r.offset) for r in got}) == len(got) >= len(rows) and 10**17 + 1 in {r.doc_id for r in got}
+            continue
+        assert out.columns == docs.columns, name
+        own = {(r[0], *r[5:]) for r in rows}
+        assert {(r.doc_id, *r[5:]) for r in got} <= own, name  # other columns as they were, clashing names too
+        if name in ("line dedup", "secret scan"):
+            assert len(got) == len(rows) and sum(r.text is None for r in got) == sum(r[1] is None for r in rows)
+            assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    unlabelled = spark.createDataFrame([(-5, "a b c", "en", "x", 5), (None, None, "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert pipeline.quality_stage(spark, unlabelled, folder).count() == 2
