@@ -306,3 +306,12 @@ def test_hourly_windows_on_a_stream(spark, tmp_path):
     job.awaitTermination()
     want = {tuple(r) for r in hourly(events).collect()}
     assert {tuple(r) for r in spark.table("hours").collect()} == want and len(want) == 2
+
+
+def test_kmeans_of_cells_finds_separate_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = [(t, float(u), float(v)) for t in (0, 1) for c, n in (((0, 0), 40), ((50, 900), 60), ((200, 100), 50)) for u, v in rng.normal(c, (1, 5), (n, 2))]
+    rows += [(0, float("nan"), 1.0), (1, None, 2.0)]
+    cells = spark.createDataFrame(rows, "t int, neutron double, xray double").repartition(3)
+    got = sorted((r.t, round(r.neutron_mean / 50), r.n) for r in clusters.cluster_cells(cells, 3).collect())
+    assert got == [(t, m, n) for t in (0, 1) for m, n in ((0, 40), (1, 60), (4, 50))]
