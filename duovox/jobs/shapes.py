@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from duovox.functions.plane import class_of
 from duovox.jobs.adaptive import _FIT, ROUNDS, fit
-from duovox.jobs.registry import _CLASS, _V, REGIONS, query
+from duovox.jobs.registry import _CLASS, _H, _V, REGIONS, lineitem_hist, query
 from duovox.jobs.smooth import QUERIES, SQL  # noqa: F401
 from duovox.jobs.volumes import _S
-from duovox.operators import alignment, hulls, mixels, mixtures
+from duovox.operators import alignment, factors, hulls, mixels, mixtures
 from duovox.operators.spatial import _table
 from duovox.sources.paired import grid_series, paired_lineitem
 
@@ -89,3 +89,32 @@ def mixing_lines(spark, sf_dir):
 def mixel_checks(spark, sf_dir):
     _, model, parameters = fit(spark, sf_dir)
     return mixels.verified(mixels.line_angles(mixtures.class_rows(parameters, model)), MIXELS, tolerance=0.001)
+
+
+_RANK, _UPDATES = 3, 4
+
+
+def _update(r: int) -> str:
+    return f"""g{r} AS (SELECT a.k, b.k AS j, sum(a.v * b.v) AS v FROM w{r} a JOIN w{r} b ON b.t = a.t GROUP BY ALL), n{r} AS (SELECT x.b, w.k, sum(x.v * w.v) AS v FROM x JOIN w{r} w ON w.t = x.t GROUP BY ALL), d{r} AS (SELECT h.b, g.k, sum(g.v * h.v) AS v FROM h{r} h JOIN g{r} g ON g.j = h.k GROUP BY ALL),
+h{r + 1} AS MATERIALIZED (SELECT h.b, h.k, h.v * n.v / (d.v + 1e-12) AS v FROM h{r} h JOIN n{r} n ON n.b = h.b AND n.k = h.k JOIN d{r} d ON d.b = h.b AND d.k = h.k), c{r} AS (SELECT x.t, h.k, sum(x.v * h.v) AS v FROM x JOIN h{r + 1} h ON h.b = x.b GROUP BY ALL), o{r} AS (SELECT a.k, b.k AS j, sum(a.v * b.v) AS v FROM h{r + 1} a JOIN h{r + 1} b ON b.b = a.b GROUP BY ALL),
+e{r} AS (SELECT w.t, o.k, sum(w.v * o.v) AS v FROM w{r} w JOIN o{r} o ON o.j = w.k GROUP BY ALL), w{r + 1} AS MATERIALIZED (SELECT w.t, w.k, w.v * c.v / (e.v + 1e-12) AS v FROM w{r} w JOIN c{r} c ON c.t = w.t AND c.k = w.k JOIN e{r} e ON e.t = w.t AND e.k = w.k)"""
+
+
+_FACTORS = f"""WITH {_H}, x AS MATERIALIZED (SELECT t, iy * 64 + ix AS b, count / sum(count) OVER (PARTITION BY t) AS v FROM h), tk AS (SELECT t, least((row_number() OVER (ORDER BY t) - 1) * {_RANK} // count(*) OVER (), {_RANK - 1}) AS part FROM (SELECT DISTINCT t FROM h)), ks AS (SELECT unnest(range(0, {_RANK})) AS k),
+w0 AS MATERIALIZED (SELECT t, k, CASE WHEN k = part THEN 1 ELSE 0.1 END::DOUBLE AS v FROM tk, ks), h0 AS MATERIALIZED (SELECT b.b, k, coalesce((SELECT sum(x.v) FROM x JOIN tk ON tk.t = x.t WHERE x.b = b.b AND tk.part = k), 0) / (SELECT count(*) FROM tk WHERE part = k) + 1e-12 AS v FROM (SELECT DISTINCT b FROM x) b, ks), {', '.join(map(_update, range(_UPDATES)))}"""
+
+
+def _factors(spark, sf_dir):
+    return factors.histogram_factors(lineitem_hist(spark, sf_dir)[0], _RANK, _UPDATES)
+
+
+@query("factor_weights", f"{_FACTORS} SELECT t, k::INTEGER AS component, round(v, 5) AS weight FROM w{_UPDATES}", 5)
+def factor_weights(spark, sf_dir):
+    """How much of each of three non-negative components every year's histogram holds."""
+    return _factors(spark, sf_dir).weight_rows()
+
+
+@query("factor_components", f"{_FACTORS} SELECT (b // 64)::INTEGER AS iy, (b % 64)::INTEGER AS ix, k::INTEGER AS component, round(v * 1000, 5) AS value FROM h{_UPDATES}", 5)
+def factor_components(spark, sf_dir):
+    """The components, in thousandths."""
+    return _factors(spark, sf_dir).component_rows().withColumn("value", F.col("value") * 1000)

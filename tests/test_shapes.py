@@ -151,3 +151,28 @@ def test_fractions_follow_the_mixture(spark):
     assert [(x.class_id, x.first, x.second) for x in lines] == [(3, 1, 2)] and lines[0].angle < 5 and 0.3 < lines[0].position < 0.7
     told = {(x.class_id, x.second): x.reason for x in mixels.verified(angles, [*declared[:1], mixels.Mixel(3, 1, 9), mixels.Mixel(1, 2, 3)]).collect()}
     assert told[3, 2] == "aligned" and told[3, 9] == "not fitted" and told[1, 3] in ("no long axis", "off the line")
+
+
+def test_factors_of_planted_components(spark):
+    from duovox.operators import factors
+
+    rng = np.random.default_rng(6)
+    base = np.zeros((2, 64))
+    base[0, :30], base[1, 25:] = rng.random(30), rng.random(39)
+    base /= base.sum(1, keepdims=True)
+    rows = [(t, b // 8, b % 8, round(1e6 * ((1 - t / 5) * base[0, b] + t / 5 * base[1, b]))) for t in range(6) for b in range(64)]
+    hist = spark.createDataFrame([r for r in rows if r[3]], "t int, iy int, ix int, count long")
+    done = factors.histogram_factors(hist, 2, 6)
+    x = np.zeros((6, 64))
+    for t, iy, ix, n in rows:
+        x[t, 8 * iy + ix] = n
+    x /= x.sum(1, keepdims=True)
+    w, h = np.where(np.array([0, 0, 0, 1, 1, 1])[:, None] == np.arange(2), 1.0, 0.1), np.array([x[:3].mean(0), x[3:].mean(0)]) + 1e-12
+    for _ in range(6):
+        h = h * (w.T @ x) / (w.T @ w @ h + 1e-12)
+        w = w * (x @ h.T) / (w @ (h @ h.T) + 1e-12)
+    assert np.allclose(done.weights, w, rtol=1e-9)
+    got = {(r.iy, r.ix, r.component): r.value for r in done.component_rows().collect()}
+    assert all(math.isclose(v, h[k, 8 * iy + ix], rel_tol=1e-9, abs_tol=1e-15) for (iy, ix, k), v in got.items())
+    assert math.isclose(done.error(), ((x - w @ h) ** 2).sum(), rel_tol=1e-6) and done.error() < ((x - x.mean(0)) ** 2).sum() / 20
+    assert done.weight_rows().count() == 12 and factors.histogram_factors(hist.limit(0), 2, 2).weight_rows().count() == 0
