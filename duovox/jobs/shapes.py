@@ -9,9 +9,9 @@ from duovox.jobs.adaptive import _FIT, ROUNDS, fit
 from duovox.jobs.registry import _CLASS, _H, _V, REGIONS, lineitem_hist, query
 from duovox.jobs.smooth import QUERIES, SQL  # noqa: F401
 from duovox.jobs.volumes import _S
-from duovox.operators import alignment, factors, hulls, mixels, mixtures
-from duovox.operators.spatial import _table
-from duovox.sources.paired import grid_series, paired_lineitem
+from duovox.operators import alignment, factors, hulls, mixels, mixtures, validation
+from duovox.operators.spatial import _table, block_ids
+from duovox.sources.paired import grid_series, paired_lineitem, with_labels
 
 _BINNED = f"{_S}, en AS (SELECT t, min(neutron) AS n0, max(neutron) AS n1, min(xray) AS x0, max(xray) AS x1 FROM s GROUP BY t), q AS (SELECT s.t, z, y, x, least(floor((neutron - n0) / (n1 - n0) * 8), 7)::INTEGER AS a, least(floor((xray - x0) / (x1 - x0) * 8), 7)::INTEGER AS b FROM s JOIN en ON en.t = s.t)"
 
@@ -118,3 +118,37 @@ def factor_weights(spark, sf_dir):
 def factor_components(spark, sf_dir):
     """The components, in thousandths."""
     return _factors(spark, sf_dir).component_rows().withColumn("value", F.col("value") * 1000)
+
+
+_BLOCKED = f"{_S}, vb AS MATERIALIZED (SELECT s.t, s.z, y, x, (least(s.z * 2 // 5, 1) * 2 + least(y * 2 // 20, 1)) * 2 + least(x * 2 // 20, 1) AS block, neutron, xray + 40 * (neutron >= 3)::INTEGER AS xray, label FROM s)"
+_FOLDS = f"""{_BLOCKED}, ow AS (SELECT block, label, count(*) AS c, sum(neutron) AS sn, sum(xray) AS sx, sum(neutron * neutron) AS snn, sum(xray * xray) AS sxx, sum(neutron * xray) AS snx FROM vb GROUP BY ALL),
+rs AS (SELECT b.block, o.label, sum(c) AS c, sum(sn) AS sn, sum(sx) AS sx, sum(snn) AS snn, sum(sxx) AS sxx, sum(snx) AS snx FROM (SELECT DISTINCT block FROM ow) b JOIN ow o ON o.block <> b.block GROUP BY ALL),
+fm AS MATERIALIZED (SELECT block, label, c / sum(c) OVER (PARTITION BY block) AS w, sn / c AS n, sx / c AS x, (snn - sn * sn / c) / (c - 1) AS a, (sxx - sx * sx / c) / (c - 1) AS d, (snx - sn * sx / c) / (c - 1) AS o FROM rs)"""
+
+
+def _judge(cells: str) -> str:
+    return f"(SELECT v.t, v.z, v.y, v.x, v.block, any_value(v.label) AS truth, arg_max(m.label, ln(w) - 0.5 * (2 * ln(2 * pi()) + ln(a * d - o * o) + (d * (v.neutron - n) * (v.neutron - n) - 2 * o * (v.neutron - n) * (v.xray - m.x) + a * (v.xray - m.x) * (v.xray - m.x)) / (a * d - o * o))) AS prediction FROM {cells} v JOIN fm m ON m.block = v.block GROUP BY v.t, v.z, v.y, v.x, v.block)"
+
+
+def _blocks(spark, sf_dir):
+    cells = with_labels(grid_series(spark, sf_dir))
+    return block_ids(cells.withColumn("xray", F.col("xray") + 40 * (F.col("neutron") >= 3).cast("int")), (5, 20, 20), (2, 2, 2))
+
+
+_KAPPA = "SELECT {0} count(*) AS cells, avg((truth = prediction)::INTEGER) AS accuracy, (SELECT sum(r * c) FROM (SELECT l, (SELECT count(*) FROM {1} q WHERE q.truth = l {2}) AS r, (SELECT count(*) FROM {1} q WHERE q.prediction = l {2}) AS c FROM range(0, 3) z(l))) / (count(*) * count(*)) AS chance FROM {1} p {3}"
+
+
+@query("block_validation", f"WITH {_FOLDS}, jd AS MATERIALIZED {_judge('vb')}, k AS ({_KAPPA.format('p.block,', 'jd', 'AND q.block = p.block', 'GROUP BY p.block')} UNION ALL {_KAPPA.format('NULL,', 'jd', '', '')}) SELECT block::INTEGER AS block, cells, round(accuracy, 6) AS accuracy, round((accuracy - chance) / (1 - chance), 6) AS kappa FROM k")
+def block_validation(spark, sf_dir):
+    """Labels judged by classes that were fitted without the cell's block."""
+    return validation.block_validation(_blocks(spark, sf_dir))
+
+
+_DEAL = "(SELECT a.t, a.z, a.y, a.x, a.block, a.label, {0} FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY t, z, y, x) AS k FROM vb) a JOIN (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws(',', t, z, y, x)), t, z, y, x) AS k FROM vb) b ON b.block = a.block AND b.k = a.k)"
+_RIGHT = "SELECT '{0}' AS feature, avg((truth = prediction)::INTEGER) AS accuracy FROM {1}"
+
+
+@query("permutation_importance", f"WITH {_FOLDS}, dn AS MATERIALIZED {_DEAL.format('b.neutron, a.xray')}, dx AS MATERIALIZED {_DEAL.format('a.neutron, b.xray')}, im AS ({_RIGHT.format('none', _judge('vb'))} UNION ALL {_RIGHT.format('neutron', _judge('dn'))} UNION ALL {_RIGHT.format('xray', _judge('dx'))}) SELECT feature, round(accuracy, 6) AS accuracy, round((SELECT accuracy FROM im WHERE feature = 'none') - accuracy, 6) AS drop FROM im")
+def permutation_importance(spark, sf_dir):
+    """What the folds lose when a channel's values are dealt anew within blocks, by hashed places."""
+    return validation.importance(_blocks(spark, sf_dir), F.md5(F.concat_ws(",", "t", "z", "y", "x")))
