@@ -56,7 +56,7 @@ def test_folds_against_loops(spark):
     order = F.md5(F.concat_ws(",", "z", "y", "x"))
     drops = {r.feature: r for r in validation.importance(df, order).collect()}
     assert drops["none"].drop == 0 and math.isclose(drops["none"].accuracy, kappa(told)[0])
-    mixed = validation.permuted(df.where("neutron > 0 AND label IS NOT NULL"), "neutron", order).collect()
+    mixed = validation.permuted(df.where("z < 8"), "neutron", order).collect()
     before = {(r[1], r[2], r[3]): r for r in rows}
     for b in range(4):
         own = [r for r in mixed if r.block == b]
