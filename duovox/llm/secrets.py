@@ -29,13 +29,12 @@ SYMBOLS = 66
 SCALE = 1000
 #: Common words of code, paths and addresses, and the rows of a keyboard, for ordinary names that a corpus may lack.
 CODE_WORDS = (
-    "access account action admin agent alias app archive array asset async auth backend backup base batch block board body bootstrap branch browser buffer build bundle button cache call channel check child class client cloud cluster code command common "
-    "component config connection console content context controller core count create custom dashboard data database date debug default delete deploy description detail dev directory dist docs document domain download driver edit element email enable engine "
-    "entry error event example export extension factory feature field file filter folder footer format frame framework function gateway global group handler header health helper history home host html http image import index info init input install instance "
-    "interface internal item job json kernel key lambda language layout library link linux list loader local log login main manager map master memory menu message method model module monitor network node number object option order output package page param "
-    "parser password path payment pipeline platform plugin policy port prefix private process product profile project property protocol provider proxy public query queue react record reference registry release remote report repository request require reset "
-    "resource response result role root route runtime sample schema scope script search security select server service session setting shared socket source stack standard state static status storage store stream string style support switch system table target "
-    "task template test text theme thread time token tool tracking transaction transform type unit update upload user util value variable vendor version video view virtual web webpack widget window worker workspace write www"
+    "access account action admin agent archive array auth backend backup base block board body bootstrap branch browser buffer build button cache call check child class client code command "
+    "common component config connection console content context controller dashboard data database date default deploy description directory dist docs document download element email error "
+    "event field file filter folder framework function group handler header health helper host html http import index input install interface internal job kernel key language library link "
+    "list local log login manager master message method model module node number object output package page parser password pipeline plugin port private project provider proxy query queue "
+    "report repository request require resource response result role root route runtime sample schema script search security select server service session shared socket source state static "
+    "status storage store string system table target task template test text theme token transform update upload user value variable version view web window worker workspace www"
 ).split()
 KEY_ROWS = "qwertyuiopasdfghjklzxcvbnmqwertyuiop"
 #: Matches whose places are summed up in one go; their lists are put together after that.
