@@ -19,8 +19,8 @@ from duovox.operators.spatial import AXES
 TILE = (32, 64, 64)
 
 
-def tiled(cells: DataFrame, values: list[str], halo: int, run: Callable[..., dict[str, np.ndarray]], returns: str, tile: tuple[int, int, int] = TILE) -> DataFrame:
-    """t, z, y, x and the columns that run gives for each tile.
+def tiled(cells: DataFrame, values: list[str], halo: int | tuple[int, int, int], run: Callable[..., dict[str, np.ndarray]], returns: str, tile: tuple[int, int, int] = TILE) -> DataFrame:
+    """t, z, y, x and the columns that run gives for each tile. halo: layers on all sides, or for each axis.
 
     run(arrays, cut): arrays by name over the tile and its halo within the volume, with NaN for missing cells, and how many halo layers the
     border cuts off on both sides of each axis; it returns arrays over the tile alone. A cell is copied to the tiles whose halo it
@@ -30,22 +30,23 @@ def tiled(cells: DataFrame, values: list[str], halo: int, run: Callable[..., dic
     ends = cells.agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]).first()
     low = np.array([ends[f"min_{a}"] or 0 for a in AXES])
     high = np.array([(ends[f"max_{a}"] or 0) + 1 for a in AXES])
+    wide = np.array((halo,) * 3 if isinstance(halo, int) else halo)
     rows = cells.select("t", *AXES, *[F.col(v).cast("double").alias(v) for v in values])
     for k, (a, n) in enumerate(zip(AXES, tile)):
-        at = F.col(a) - int(low[k])
-        rows = rows.withColumn(f"_{a}", F.explode(F.sequence(F.greatest(F.floor((at - halo) / n), F.lit(0)), F.least(F.floor((at + halo) / n), F.lit(int((high[k] - low[k] - 1) // n))))))
+        at, reach = F.col(a) - int(low[k]), int(wide[k])
+        rows = rows.withColumn(f"_{a}", F.explode(F.sequence(F.greatest(F.floor((at - reach) / n), F.lit(0)), F.least(F.floor((at + reach) / n), F.lit(int((high[k] - low[k] - 1) // n))))))
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         number = f[[f"_{a}" for a in AXES]].iloc[0].to_numpy()
         first = low + number * np.array(tile)
         last = np.minimum(first + np.array(tile), high)
-        start, stop = np.maximum(first - halo, low), np.minimum(last + halo, high)
+        start, stop = np.maximum(first - wide, low), np.minimum(last + wide, high)
         at = tuple((f[a].to_numpy() - s) for a, s in zip(AXES, start))
         arrays = {}
         for v in values:
             arrays[v] = np.full(tuple(stop - start), np.nan)
             arrays[v][at] = f[v].to_numpy(float)
-        cut = [(int(halo - (a - b)), int(halo - (d - c))) for a, b, c, d in zip(first, start, last, stop)]
+        cut = [(int(h - (a - b)), int(h - (d - c))) for h, a, b, c, d in zip(wide, first, start, last, stop)]
         out = run(arrays, cut)
         own = f[np.logical_and.reduce([(f[a] >= x) & (f[a] < y) for a, x, y in zip(AXES, first, last)])]
         inner = tuple(own[a].to_numpy() - x for a, x in zip(AXES, first))
