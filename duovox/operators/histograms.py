@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, both_finite
+from duovox.operators.spatial import _table
 
 EPSILON = 1e-12
 
@@ -47,7 +48,9 @@ def marginals(hist: DataFrame) -> DataFrame:
 
 
 def dense(table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """table with a row (value 0) for each t and key that occurs at any t. T is small: it's a literal list, so no join of t and keys."""
+    """table with a row (value 0) for each t and key that occurs at any t. T is small: it's a literal list, so no join of t and keys. The table is
+    written once, so that its times don't cost another scan of the cells."""
+    table = _table(table)
     times = sorted(r[0] for r in table.select("t").distinct().collect())
     wide = table.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", value))).alias("m"))
     every = wide.select(*keys, "m", F.explode(F.array(*map(F.lit, times))).alias("t"))
@@ -63,9 +66,9 @@ def against(value: str, keys: list[str], reference: str) -> Column:
 def log_differences(hist: DataFrame, reference: str = "first") -> DataFrame:
     """t, iy, ix, log_difference: log10(count + 1) less that of the reference, for all t but the first and all bins occupied at any t."""
     full = dense(hist, ["iy", "ix"], "count")
-    first = full.agg(F.min("t")).first()[0]
-    logs = full.withColumn("v", F.log10(F.col("count") + 1)).withColumn("r", against("v", ["iy", "ix"], reference))
-    return logs.where(F.col("t") > first).select("t", "iy", "ix", (F.col("v") - F.col("r")).alias("log_difference"))
+    first = F.min("t").over(Window.partitionBy("iy", "ix"))  # all bins have all t
+    logs = full.withColumn("v", F.log10(F.col("count") + 1)).withColumns({"r": against("v", ["iy", "ix"], reference), "first": first})
+    return logs.where("t > first").select("t", "iy", "ix", (F.col("v") - F.col("r")).alias("log_difference"))
 
 
 def marginal_changes(hist: DataFrame, reference: str = "first") -> DataFrame:

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from duovox.functions.plane import Grid, Region, both_finite, class_of, in_any
 from duovox.operators.histograms import EPSILON, binned, moments
+from duovox.operators.spatial import _table
 
 UNCLASSIFIED = 0
+#: Rows of a match table (four numbers each) that are broadcast at most: some 20 MB.
+BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -189,9 +192,12 @@ def class_pairs(library: DataFrame) -> DataFrame:
 
 
 def locked_labels(cells: DataFrame, regions: list[Region], grid: Grid, defined_at: int = 0) -> DataFrame:
-    """The finite cells in the grid with their label: the match table, at most bins x bins rows for a t, joined back by bin."""
+    """The finite cells in the grid with their label: the match table, at most bins x bins rows for a t, goes back to the cells by bin.
+
+    It is written and counted: up to BROADCAST rows it is broadcast, so that hot bins need no shuffle; beyond, adaptive joins split them."""
     library = materials(class_library(cells.where(F.col("t") == defined_at), regions), regions)
-    table = match_table(moments(cells, grid), library, grid).select("t", "iy", "ix", "label")
+    table = _table(match_table(moments(cells, grid), library, grid).select("t", "iy", "ix", "label"))
+    table = F.broadcast(table) if table.count() <= BROADCAST else table
     return binned(cells, grid, "drop").join(table, ["t", "iy", "ix"]).drop("iy", "ix")
 
 
