@@ -1,10 +1,12 @@
-"""Registered queries of features at several scales, with SQL of the same responses."""
+"""Registered queries of features at several scales and of the health of a series, with SQL of the same rows."""
 
 from __future__ import annotations
 
 from duovox.jobs.registry import _G, query
 from duovox.jobs.shapes import QUERIES, SQL  # noqa: F401
-from duovox.operators import features
+from duovox.jobs.smooth import _LOCKED, _locked
+from duovox.operators import features, health, smoothing
+from duovox.operators.spatial import _table
 from duovox.sources.paired import grid_events
 
 
@@ -95,3 +97,22 @@ _PICK = ", ".join(f"round(max({e}) FILTER (s = {s} AND c = '{c}'), 4) AS {c}_{n}
 def filter_bank(spark, sf_dir):
     """Smoothed values, sizes of gradients and Laplacians of both channels, as features of each cell."""
     return features.filter_bank(grid_events(spark, sf_dir))
+
+
+_HEALTH = f"""{_LOCKED}, h_ct AS MATERIALIZED (SELECT t, label, coalesce(cells, 0) AS cells, coalesce(plain_cells, 0) AS plain FROM cs FULL JOIN ps USING (t, label)), h_ft AS (SELECT min(t) AS t0, max(t) AS t9 FROM h_ct),
+h_fu AS MATERIALIZED (SELECT d.t, k AS label, coalesce(cells, 0) AS cells, coalesce(plain, 0) AS plain, CASE WHEN k = 3 THEN (SELECT t0 + 1 FROM h_ft) ELSE (SELECT t0 FROM h_ft) END AS since FROM (SELECT DISTINCT t FROM h_ct) d CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) kk LEFT JOIN h_ct ON h_ct.t = d.t AND h_ct.label = k),
+h_gn AS (SELECT label, min(t) AS t, arg_min(plain, t) AS plain FROM h_fu WHERE cells = 0 AND t >= since GROUP BY label), h_st AS (SELECT label, coalesce(stddev_pop(cells) / nullif(abs(avg(cells)), 0), 0) AS change FROM h_fu WHERE label IN (1, 2) GROUP BY label), h_bt AS (SELECT t, sum(cells) AS n, sum(plain) AS p, coalesce(sum(cells) FILTER (label = 0), 0) AS u FROM h_ct GROUP BY t),
+h_fd AS (SELECT CASE WHEN plain > 0 THEN 'lost by smoothing' ELSE 'lost' END AS finding, 'fail' AS status, label AS class_id, t, plain::DOUBLE AS value FROM h_gn UNION ALL SELECT 'classes present', 'pass', NULL, NULL, 4 WHERE NOT EXISTS (FROM h_gn)
+UNION ALL SELECT 'appears', 'pass', label, any_value(since), count(*) FILTER (t < since AND cells = 0) FROM h_fu, h_ft WHERE since > t0 GROUP BY label
+UNION ALL SELECT 'controls', 'fail', label, NULL, change FROM h_st WHERE change > 0.02 UNION ALL SELECT 'controls', 'pass', NULL, NULL, max(change) FROM h_st HAVING max(change) <= 0.02
+UNION ALL (SELECT 'unclassified', CASE WHEN u / n > 0.05 THEN 'fail' ELSE 'pass' END, NULL, t, u / n FROM h_bt ORDER BY u / n DESC, t LIMIT 1)
+UNION ALL (SELECT 'budget', 'fail', NULL, t, n - p FROM h_bt WHERE n <> p ORDER BY t LIMIT 1) UNION ALL SELECT 'budget', 'pass', NULL, NULL, 0 WHERE NOT EXISTS (FROM h_bt WHERE n <> p) UNION ALL SELECT 'usable data', 'pass', NULL, NULL, 1
+UNION ALL SELECT 'smoothing strength', 'pass', NULL, NULL, 0.3)"""
+
+
+@query("health_check", f"{_HEALTH} SELECT finding, status, class_id::INTEGER AS class_id, t::INTEGER AS t, round(value, 6) AS value FROM h_fd")
+def health_check(spark, sf_dir):
+    """What speaks against the smoothed locked series: four classes are expected, one of them from the second timepoint on, and one that no region defines."""
+    counts = smoothing.smooth_report(_table(_locked(spark, sf_dir)))[0]
+    first = counts.agg({"t": "min"}).first()[0]
+    return health.health(counts, [1, 2, 3, 4], controls=[1, 2], born={3: first + 1}, smoothing=(0.3, True))
