@@ -112,3 +112,16 @@ def test_missing_cells_and_ties(spark, volumes):
     assert features.blobs(cells.limit(0)).collect() == [] and features.filter_bank(cells.limit(0)).collect() == []
     with pytest.raises(ValueError):
         features.bivariate_features(cells, "sum")
+
+
+def test_quantiles_are_the_same_without_broadcasts(spark, monkeypatch):
+    from duovox.operators import quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {k: rng.integers(0, 40, 50 + 30 * (k or 0)).astype(float) for k in (None, 0, 1, 2)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(2, None), (7, None)], "k int, v double")
+    monkeypatch.setattr(quantiles, "GROUPS", 0)
+    got = {r.k: r.q for r in quantiles.exact_quantiles(rows, ["k"], "v", [0.1, 0.5, 0.93], most=20).collect()}
+    assert got.pop(7) is None and set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, [0.1, 0.5, 0.93]))
