@@ -152,20 +152,27 @@ def tile_components(cells: DataFrame, reach: int, tile: tuple[int, int, int], lo
 
 
 def merged(links: DataFrame) -> DataFrame:
-    """node, root of the nodes of links (a, b): root is the least node of its component. Each round hooks a node to its least neighbour and then to that one's,
-    and contracts the links by the new names; rounds are tables in the shared folder and shrink fast."""
+    """node, root of the nodes of links (a, b): root is the least node of its component. Each round puts the nodes in a new order (a hash), hooks each to its
+    first neighbour and then to that one's, and contracts the links by the new names. By a hash a constant share of the names goes in each round, whatever
+    the links look like (by the nodes' own order a chain of n nodes would lose two of them), so rounds grow with log n; they are tables in the shared folder."""
     ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
-    edges, roots = _table(ordered(links, "a", "b")), None
+    edges, jumps = _table(ordered(links, "a", "b")), []
     while edges.limit(1).count():
-        hook = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("up"))
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(jumps)), c).alias("place"), F.col(c).alias("node"))
+        first = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(place("b")).alias("first"))
+        hook = first.select(F.col("a").alias("node"), F.least(place("a"), "first")["node"].alias("up"))
         jump = _table(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"))
-        if roots is None:
-            roots = jump.select("node", F.col("top").alias("root"))
-        else:
-            roots = _table(roots.join(jump.select(F.col("node").alias("root"), "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        jumps.append(jump)
         top = lambda c: jump.select(F.col("node").alias(c), F.col("top").alias(f"t{c}"))
         edges = _table(ordered(edges.join(top("a"), "a").join(top("b"), "b"), "ta", "tb"))
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    if not jumps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    roots = jumps[-1]
+    for jump in jumps[-2::-1]:  # the last round's names are the fewest
+        later = roots.select(F.col("node").alias("top"), F.col("top").alias("_later"))
+        roots = jump.join(later, "top", "left").select("node", F.coalesce("_later", "top").alias("top"))
+    roots = _table(roots)
+    return roots.join(roots.groupBy("top").agg(F.min("node").alias("root")), "top").select("node", "root")
 
 
 def connected(cells: DataFrame, mask: Column, reach: int = 1, apart: str | None = None, tile: tuple[int, int, int] = (32, 64, 64)) -> DataFrame:

@@ -100,6 +100,27 @@ def test_components_across_tiles(spark):
     assert spatial.connected(cells, F.lit(False)).collect() == [] == spatial.connected(cells.limit(0), F.lit(True)).collect()
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """One entry for each table that is written."""
+    written, write = [], spatial._table
+    monkeypatch.setattr(spatial, "_table", lambda df: written.append(0) or write(df))
+    return written
+
+
+def test_a_chain_of_links_takes_few_rounds(spark, tables):
+    rng = np.random.default_rng(5)
+    pairs = [(k, k + 1) for k in range(300) if k not in (99, 100, 250)] + [(1000, k) for k in range(900, 1000, 7)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2060, (50, 2))]
+    root = {k: k for p in pairs for k in p}
+    for a, b in pairs * 300:
+        root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in spatial.merged(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {k for a, b in pairs if a != b for k in (a, b)}
+    assert got == {k: root[k] for k in linked} and len(set(got.values())) > 4
+    assert len(tables) < 40  # by the order of the nodes: over 200
+    assert spatial.merged(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
 def test_openings_and_thin_parts(spark):
     a = np.zeros((14, 14, 14))
     a[1:3, 1:9, 1:9] = 1  # a sheet of two layers
