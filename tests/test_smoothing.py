@@ -121,6 +121,18 @@ def test_a_chain_of_links_takes_few_rounds(spark, tables):
     assert spatial.merged(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_along_many_tiles_takes_few_rounds(spark, tables):
+    line = spark.range(32 * 40).select(F.lit(0).alias("t"), F.col("id").cast("int").alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.when(F.col("id") < 1000, 1.0).otherwise(9.0).alias("neutron"))
+    for reach in (1, 2):
+        tables.clear()
+        assert spatial.grown(line, (0, 5, 0, 0), "neutron", 1.0, reach).count() == 1000
+        assert len(tables) < 25  # by the order of the nodes: over 40
+
+
 def test_openings_and_thin_parts(spark):
     a = np.zeros((14, 14, 14))
     a[1:3, 1:9, 1:9] = 1  # a sheet of two layers
