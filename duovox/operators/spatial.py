@@ -102,6 +102,12 @@ def _table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_cells(cells: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """Both tables' columns by place (t, z, y, x). Labels and places take next to nothing in a Parquet file, so Spark would broadcast millions of them
+    by the size of that file, through the driver; this join deals both sides out."""
+    return cells.join(others.hint("merge"), ["t", *AXES], how)
+
+
 def near_pairs(cells: DataFrame, value: str, reach: int) -> DataFrame:
     """a, b: the values of every two cells whose places differ by at most 1 on each axis and on at most `reach` axes (1: faces, 2: edges too,
     3: corners too), once for each. One equi-join on the place: each cell asks for its neighbours in one direction."""
@@ -110,7 +116,7 @@ def near_pairs(cells: DataFrame, value: str, reach: int) -> DataFrame:
     steps = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0) and abs(z) + abs(y) + abs(x) <= reach]
     moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip(AXES, s)]) for s in steps]))
     asked = cells.select("t", *AXES, F.col(value).alias("a"), moves.alias("m")).select("t", *[(F.col(a) + F.col("m")[a]).alias(a) for a in AXES], "a")
-    return asked.join(cells.select("t", *AXES, F.col(value).alias("b")), ["t", *AXES]).select("a", "b")
+    return with_cells(asked, cells.select("t", *AXES, F.col(value).alias("b"))).select("a", "b")
 
 
 def tile_components(cells: DataFrame, reach: int, tile: tuple[int, int, int], low: tuple[int, int, int]) -> DataFrame:
@@ -225,7 +231,7 @@ def grown(cells: DataFrame, seed: tuple[int, int, int, int], channel: str | tupl
 
 def label_components(cells: DataFrame, label: str = "label", reach: int = 1) -> DataFrame:
     """t, label, components, largest_share: how many parts each label has, and its largest part's share of it."""
-    parts = connected(cells, F.col(label).isNotNull(), reach, label).join(cells.select("t", *AXES, F.col(label).alias("label")), ["t", *AXES])
+    parts = with_cells(connected(cells, F.col(label).isNotNull(), reach, label), cells.select("t", *AXES, F.col(label).alias("label")))
     sizes = parts.groupBy("t", "label", "component").agg(F.count("*").alias("n"))
     return sizes.groupBy("t", "label").agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
 
