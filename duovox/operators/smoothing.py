@@ -11,10 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duovox.functions.plane import Grid, Region, class_of
+from duovox.functions.plane import Grid, Region, both_finite, class_of
 from duovox.operators import materials
-from duovox.operators.histograms import binned, moments
-from duovox.operators.spatial import AXES, _table, adjacency, boundary_cost, connected, edge_scale
+from duovox.operators.histograms import moments
+from duovox.operators.spatial import AXES, _table, adjacency, boundary_cost, connected, edge_scale, with_cells
 from duovox.operators.stencils import TILE, tiled
 
 DAMPING = 0.5
@@ -146,22 +146,23 @@ def opened(cells: DataFrame, mask: str, tile: tuple[int, int, int] = TILE) -> Da
 def thin_parts(cells: DataFrame, mask: str, least: int = 20, tile: tuple[int, int, int] = TILE) -> DataFrame:
     """t, z, y, x, component of the cells of a mask in connected parts (by faces) of `least` cells or more that an opening takes away whole: sheets,
     threads and fresh layers, at most two cells thick."""
-    parts = connected(cells, F.coalesce(F.col(mask), F.lit(False)), tile=tile).join(opened(cells, mask, tile), ["t", *AXES])
+    parts = with_cells(connected(cells, F.coalesce(F.col(mask), F.lit(False)), tile=tile), opened(cells, mask, tile))
     thin = parts.groupBy("t", "component").agg(F.count("*").alias("n"), F.bool_or("opened").alias("left")).where((F.col("n") >= least) & ~F.col("left"))
-    return parts.drop("opened").join(thin.select("t", "component"), ["t", "component"], "left_semi")
+    return parts.drop("opened").join(thin.select("t", "component").hint("merge"), ["t", "component"], "left_semi")
 
 
 def locked_scores(cells: DataFrame, regions: list[Region], grid: Grid, defined_at: int = 0, floor: float = 1e-4) -> tuple[DataFrame, list[str], list[materials.Material]]:
     """cells (with coordinates) with a score for each class of the regions and for none of them (s0, s1, ...; the last), by bin; null outside the grid.
 
-    Scores are made once for each bin; the table, at most bins x bins rows for each t, goes back to the cells by a join on the bin.
+    Scores are made once for each bin; the table, at most bins x bins rows for each t, goes back to the cells by one join on the bin.
     """
     library = materials.materials(materials.class_library(cells.where(F.col("t") == defined_at), regions), regions)
     names = [f"s{k}" for k in range(len(library) + 1)]
     none = F.lit(-float(np.log(grid.area)) + float(np.log(floor)))
-    table = moments(cells, grid).select("t", "iy", "ix", *[s.alias(n) for s, n in zip([*map(materials.bin_score, library), none], names)])
-    inside = binned(cells, grid, "drop").select("t", *AXES, "iy", "ix").join(table, ["t", "iy", "ix"]).drop("iy", "ix")
-    return cells.join(inside, ["t", *AXES], "left"), names, library
+    table = moments(cells, grid).select("t", F.col("iy").alias("_iy"), F.col("ix").alias("_ix"), *[s.alias(n) for s, n in zip([*map(materials.bin_score, library), none], names)])
+    inside = both_finite() & grid.inside()
+    rows = cells.withColumns({"_iy": F.when(inside, grid.xray_bin()), "_ix": F.when(inside, grid.neutron_bin())})
+    return rows.join(table.hint("merge"), ["t", "_iy", "_ix"], "left").select(*cells.columns, *names), names, library
 
 
 def locked_cost(cells: DataFrame, regions: list[Region], library: list[materials.Material], defined_at: int = 0) -> np.ndarray:
@@ -232,7 +233,7 @@ def auto_smoothing(cells: DataFrame, regions: list[Region], grid: Grid, strength
                 one = thin_parts(labels.withColumn("_m", F.col("label") == m.class_id), "_m").select("t", *AXES, F.lit(m.class_id).alias("thin"))
                 thin = one if thin is None else thin.union(one)
             thin = _table(thin)
-        joined = labels.join(before.withColumnRenamed("label", "was"), ["t", *AXES]).join(base.withColumnRenamed("label", "plain"), ["t", *AXES]).join(thin, ["t", *AXES], "left")
+        joined = with_cells(with_cells(with_cells(labels, before.withColumnRenamed("label", "was")), base.withColumnRenamed("label", "plain")), thin, "left")
         sums = [F.count_if(F.col("label") != materials.EXCLUDED).alias("valid"), F.count_if((F.col("label") != F.col("was")) & (F.col("label") != materials.EXCLUDED)).alias("moved"), F.count_if(F.col("label") == materials.UNCLASSIFIED).alias("none")]
         for m in library:
             i = m.class_id

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duovox.operators.ship import shipped
-from duovox.operators.spatial import AXES
+from duovox.operators.spatial import AXES, with_cells
 
 TILE = (32, 64, 64)
 
@@ -139,7 +139,7 @@ def eroded(cells: DataFrame, mask: Column, steps: int, tile: tuple[int, int, int
         return {"depth": depth}
 
     inside = cells.withColumn("_in", F.coalesce(mask, F.lit(False)).cast("int"))
-    return tiled(inside, ["_in"], steps, run, "depth int", tile).join(inside.where("_in = 1").select("t", *AXES), ["t", *AXES])
+    return with_cells(tiled(inside, ["_in"], steps, run, "depth int", tile), inside.where("_in = 1").select("t", *AXES))
 
 
 def survival(cells: DataFrame, first: Column, second: Column, steps: int = 4, rind: int = 2) -> DataFrame:

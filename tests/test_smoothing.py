@@ -133,6 +133,14 @@ def test_growing_along_many_tiles_takes_few_rounds(spark, tables):
         assert len(tables) < 25  # by the order of the nodes: over 40
 
 
+def test_cells_are_not_broadcast(spark):
+    cells = spatial._table(spark.range(400).select(F.lit(0).alias("t"), *[F.floor(F.col("id") / n % 10).cast("int").alias(a) for a, n in zip("zyx", (100, 10, 1))], (F.col("id") < 200).alias("m")))
+    for reach in (2, 3):
+        assert "Broadcast" not in plan(spatial.near_pairs(cells, "m", reach))
+    opened = plan(smoothing.thin_parts(cells, "m"))
+    assert "SortMergeJoin [t" in opened and "BroadcastHashJoin [t" not in opened
+
+
 def test_openings_and_thin_parts(spark):
     a = np.zeros((14, 14, 14))
     a[1:3, 1:9, 1:9] = 1  # a sheet of two layers
