@@ -96,7 +96,7 @@ cs AS (SELECT t, label, count(*) AS cells FROM al GROUP BY ALL), ps AS (SELECT t
 
 
 def _locked(spark, sf_dir):
-    cells = grid_series(spark, sf_dir)
+    cells = spatial._table(grid_series(spark, sf_dir))  # properties are parsed once
     return smoothing.locked_smooth(cells, BANDS, plane_grid(cells), 0.3, sweeps=SWEEPS)
 
 
@@ -109,5 +109,5 @@ def locked_smooth(spark, sf_dir):
 @query("auto_smoothing")
 def auto_smoothing(spark, sf_dir):
     """Every tested strength at every timepoint, with the guards' figures; the choice is tested in pytest."""
-    cells = grid_series(spark, sf_dir)
+    cells = spatial._table(grid_series(spark, sf_dir))
     return smoothing.auto_smoothing(cells, BANDS, plane_grid(cells), (0.0, 0.1, 0.3), sweeps=SWEEPS, extensions=0)[2]

@@ -57,13 +57,14 @@ def softmax(a: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def smoothed(cells: DataFrame, scores: list[str], beta: float, sweeps: int = 5, method: str = "mean_field", cost: np.ndarray | None = None, edges: bool = False, damping: float = DAMPING, tile: tuple[int, int, int] = TILE) -> DataFrame:
+def smoothed(cells: DataFrame, scores: list[str], beta: float, sweeps: int = 5, method: str = "mean_field", cost: np.ndarray | None = None, edges: bool = False, damping: float = DAMPING, tile: tuple[int, int, int] = TILE, scale: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """t, z, y, x, label (the index of a score), energy after so many sweeps over all cells at once.
 
     mean_field: shares of labels, each sweep by the softmax of a cell's scores less beta times what its neighbours' shares cost, damped. icm: the label of the
     largest such value, neighbours' labels taken as they are. Ties go to the first label. cost: by pair of labels, or alike for all. edges: faces
     weigh exp(-(gap / sigma)^2 / 2) of both channels' steps (see spatial.edge_weights), needs neutron and xray. energy: minus the cell's score and beta times
     the costs of its faces to upper neighbours; its sum is that of the volume. A cell with a null or NaN score takes no part: label and energy are null.
+    scale: the cells' edge_scale as a table, where it is known. carry: int columns of cells that come along.
     """
     if method not in ("mean_field", "icm"):
         raise ValueError(f"unknown method {method}")
@@ -73,7 +74,8 @@ def smoothed(cells: DataFrame, scores: list[str], beta: float, sweeps: int = 5,
         raise ValueError("cost must have a row and a column for each score")
     channels = []
     if edges:
-        scale = F.broadcast(edge_scale(cells).select("t", (F.col("sn") * F.col("sigma")).alias("unit_n"), (F.col("sx") * F.col("sigma")).alias("unit_x")))  # a row for each t
+        scale = _table(edge_scale(cells)) if scale is None else scale  # else each pass over the cells would find it anew
+        scale = F.broadcast(scale.select("t", (F.col("sn") * F.col("sigma")).alias("unit_n"), (F.col("sx") * F.col("sigma")).alias("unit_x")))  # a row for each t
         cells = cells.join(scale, "t").withColumns({"step_n": F.col("neutron") / F.col("unit_n"), "step_x": F.col("xray") / F.col("unit_x")})
         channels = ["step_n", "step_x"]
     halo = sweeps + 1 if beta > 0 else 1
@@ -114,10 +116,11 @@ def smoothed(cells: DataFrame, scores: list[str], beta: float, sweeps: int = 5,
             low, high = faces(label, axis)
             faces(energy, axis)[0][...] += beta * cost[low, high] * weights[axis][..., 0]
         inner = tuple(slice(halo - a, n - halo + b) for (a, b), n in zip(cut, label.shape))
-        return {"label": np.where(valid, label, -1)[inner].astype(np.int32), "energy": np.where(valid, energy, np.nan)[inner]}
+        return {"label": np.where(valid, label, -1)[inner].astype(np.int32), "energy": np.where(valid, energy, np.nan)[inner], **{c: arrays[c][inner] for c in carry}}
 
-    out = tiled(cells, [*scores, *channels], halo, run, "label int, energy double", tile)
-    return out.select("t", *AXES, F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.nanvl("energy", F.lit(None)).alias("energy"))
+    out = tiled(cells, [*scores, *channels, *carry], halo, run, ", ".join(["label int, energy double", *[f"{c} double" for c in carry]]), tile)
+    along = [F.nanvl(c, F.lit(None)).cast("int").alias(c) for c in carry]
+    return out.select("t", *AXES, F.when(F.col("label") >= 0, F.col("label")).alias("label"), F.nanvl("energy", F.lit(None)).alias("energy"), *along)
 
 
 def opened(cells: DataFrame, mask: str, tile: tuple[int, int, int] = TILE) -> DataFrame:
@@ -174,20 +177,19 @@ def locked_cost(cells: DataFrame, regions: list[Region], library: list[materials
     return with_unknown(learned_cost(drawn, "_k", len(library)))
 
 
-def named_labels(labels: DataFrame, library: list[materials.Material]) -> DataFrame:
-    """label as class ids; materials.EXCLUDED for cells without scores, UNCLASSIFIED for no class."""
+def named_labels(labels: DataFrame, library: list[materials.Material], column: str = "label") -> DataFrame:
+    """A column of labels as class ids; materials.EXCLUDED for cells without scores, UNCLASSIFIED for no class."""
     ids = F.array(*[F.lit(m.class_id) for m in library], F.lit(materials.UNCLASSIFIED))
-    return labels.withColumn("label", F.coalesce(F.get(ids, F.col("label")), F.lit(materials.EXCLUDED)))
+    return labels.withColumn(column, F.coalesce(F.get(ids, F.col(column)), F.lit(materials.EXCLUDED)))
 
 
 def locked_smooth(cells: DataFrame, regions: list[Region], grid: Grid, beta: float, defined_at: int = 0, sweeps: int = 5, method: str = "mean_field", edges: bool = True) -> DataFrame:
     """t, z, y, x, label, plain: the locked mode's labels of every cell with smoothing and without it. Cells outside the grid are EXCLUDED."""
     scored, names, library = locked_scores(cells, regions, grid, defined_at)
-    scored = _table(scored)
-    out = smoothed(scored, names, beta, sweeps, method, locked_cost(cells, regions, library, defined_at), edges)
     first = F.array_position(F.array(*names), F.greatest(*names)).cast("int") - 1
-    plain = named_labels(scored.select("t", *AXES, F.when(F.col(names[0]).isNotNull(), first).alias("label")), library)
-    return named_labels(out, library).drop("energy").join(plain.withColumnRenamed("label", "plain"), ["t", *AXES])
+    scored = _table(scored.withColumn("plain", F.when(F.col(names[0]).isNotNull(), first)))
+    out = smoothed(scored, names, beta, sweeps, method, locked_cost(cells, regions, library, defined_at), edges, carry=["plain"])
+    return named_labels(named_labels(out.drop("energy"), library), library, "plain")
 
 
 def smooth_report(labels: DataFrame, most_unclassified: float = 0.5, least_kept: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -222,11 +224,12 @@ def auto_smoothing(cells: DataFrame, regions: list[Region], grid: Grid, strength
     """
     scored, names, library = locked_scores(cells, regions, grid, defined_at)
     scored, cost = _table(scored), locked_cost(cells, regions, library, defined_at)
+    scale = _table(edge_scale(scored)) if edges else None
     levels = sorted({0.0, *map(float, strengths)})
     base = before = thin = None
     rows, fine, changes, k = [], [], [], 0
     while k < len(levels):
-        labels = _table(named_labels(smoothed(scored, names, levels[k], sweeps, method, cost, edges), library).drop("energy"))
+        labels = _table(named_labels(smoothed(scored, names, levels[k], sweeps, method, cost, edges, scale=scale), library).drop("energy"))
         if base is None:
             base = before = labels
             for m in library:

@@ -141,6 +141,15 @@ def test_cells_are_not_broadcast(spark):
     assert "SortMergeJoin [t" in opened and "BroadcastHashJoin [t" not in opened
 
 
+def test_tiles_of_the_locked_mode_meet_no_other_cells(spark):
+    a = np.random.default_rng(6).random((4, 6, 6)) * 30
+    a[:, :, 3:] += 60
+    regions = [Region("low", 1, rectangle=(-1, 35, -1, 35)), Region("high", 2, rectangle=(50, 100, 50, 100))]
+    cells = table(spark, a, a + np.random.default_rng(7).random(a.shape))
+    text = plan(smoothing.locked_smooth(cells, regions, plane_grid(cells), 0.3, sweeps=2))
+    assert "Window" not in text and "SortMergeJoin" not in text and text.count("FlatMapGroupsInPandas") == 1
+
+
 def test_openings_and_thin_parts(spark):
     a = np.zeros((14, 14, 14))
     a[1:3, 1:9, 1:9] = 1  # a sheet of two layers
