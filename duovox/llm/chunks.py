@@ -7,13 +7,21 @@ so a run of white space with the visible run after it encodes alike in any conte
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The mark of a key that is its chunk's whole text.
 AS_IS = "\0"
 #: The mark, white space other than the space and the line end, and controls that Python's isspace() counts though Unicode doesn't.
 ODD_ASCII = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: All signs of ASCII.
+PUNCTUATION = string.punctuation
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
@@ -22,15 +30,37 @@ def spaced_chunks(text: str) -> list[str]:
     """Keys of chunks whose encodings, joined, are the encoding of text; '' gives none. literal() gives a key's text."""
     if not text:
         return []
+    row = spaced_row(text)
+    return [AS_IS + c for c in _chunk.findall(text)] if row is None else row.split(" ")
+
+
+def spaced_row(text: str) -> str | None:
+    """The keys of a text, which isn't empty, with a space between any two; None if it has more than single spaces and line ends."""
     if any(c in text for c in ODD_ASCII) or any(s in text for s in ("  ", "\n\n", " \n", "\n ")) or (not text.isascii() and any(c in text for c in ODD_WIDE)):
-        return [AS_IS + c for c in _chunk.findall(text)]
-    # single spaces and line ends only: the quick way
-    keys = text.replace("\n", " \n").split(" ")
-    if keys[0]:
-        keys[0] = AS_IS + keys[0]
-    else:
-        del keys[0]
-    return keys
+        return None
+    row = text.replace("\n", " \n")
+    return row[1:] if row[0] == " " else AS_IS + row
+
+
+def key_table(texts: list[str], cut: Callable[[str], list[str]], rows: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct keys of texts, the place among them of each key, text by text, and where each text's keys end.
+
+    rows: cut is spaced_chunks, and Arrow splits the texts that have a spaced_row.
+    """
+    row = [spaced_row(t) if rows and t else None for t in texts]
+    lists = [[] if r is not None else cut(t) for r, t in zip(row, texts)]
+    split = pc.split_pattern(pa.array(row, pa.large_string()), " ")
+    counts = np.array([*map(len, lists)], np.int64) + pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    flat = pa.concat_arrays([pc.list_flatten(split), pa.array(chain.from_iterable(lists), pa.large_string())])
+    coded = flat.dictionary_encode()
+    place, ends = coded.indices.to_numpy(), np.cumsum(counts)
+    quick = np.array([r is not None for r in row], bool)
+    if quick.any() and not quick.all():  # those of the lists lie behind all others: back into the order of texts
+        own = np.repeat(quick, counts)
+        whole = np.empty_like(place)
+        whole[own], whole[~own] = np.split(place, [int(own.sum())])
+        place = whole
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), place, ends
 
 
 def literal(key: str) -> str:
@@ -75,3 +105,21 @@ class Cache:
                 for k in gap:
                     row[k] = young[chunks[k]]
         return rows
+
+    def distinct(self, keys: list[str]) -> list:
+        """The encodings of chunks none of which is there twice, with few steps for each."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, held = self.young, self.old.get
+        out, missing = [*map(young.get, keys)], []
+        for at, (key, e) in enumerate(zip(keys, out)):
+            if e is None:
+                e = held(key)
+                if e is None:
+                    missing.append(at)
+                else:
+                    out[at] = young[key] = e
+        if missing:
+            for at, e in zip(missing, self.encode([keys[at] for at in missing])):
+                out[at] = young[keys[at]] = e
+        return out
