@@ -103,14 +103,39 @@ def cluster_series(cells: DataFrame, grid: Grid, k: int, transient: bool = True,
     return timeline(hist, series_plane(hist, grid, k, transient, emphasise_small))
 
 
-def cluster_cells(cells: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """t, cluster, n, neutron_mean, xray_mean: k-means over all finite pairs at unit deviation."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def cluster_cells(cells: DataFrame, k: int, seed: int = 42, rounds: int = 20, bins: int = 128) -> DataFrame:
+    """t, cluster, n, neutron_mean, xray_mean: k-means over all finite pairs at unit deviation, in at most k clusters, ascending by centre.
 
+    The starts are the best of ten weighted clusterings of the pairs' counts on a grid between their extremes (bins x bins rows at most on
+    the driver). Each round then sums all pairs by their nearest centre, from the source anew: a task keeps no pairs, and k rows reach the
+    driver. The clusters don't depend on how rows lie in partitions.
+    """
     rows = cells.where(both_finite())
-    m = rows.agg(F.avg("neutron").alias("a"), F.stddev_pop("neutron").alias("b"), F.avg("xray").alias("c"), F.stddev_pop("xray").alias("d")).first()
-    unit = rows.withColumns({"u": (F.col("neutron") - m["a"]) / (m["b"] or 1.0), "v": (F.col("xray") - m["c"]) / (m["d"] or 1.0)})
-    data = VectorAssembler(inputCols=["u", "v"], outputCol="features").transform(unit)
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
-    return model.transform(data).groupBy("t", F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"), F.avg("neutron").alias("neutron_mean"), F.avg("xray").alias("xray_mean"))
+    of = [f(c).alias(f"{n}_{c}") for c in ("neutron", "xray") for n, f in (("mean", F.avg), ("dev", F.stddev_pop), ("low", F.min), ("high", F.max))]
+    m = rows.agg(*of).first()
+    if m["mean_neutron"] is None:
+        raise ValueError("no finite pairs")
+    dev = {c: m[f"dev_{c}"] or 1.0 for c in ("neutron", "xray")}
+    unit = rows.withColumns({n: (F.col(c) - m[f"mean_{c}"]) / dev[c] for n, c in (("_u", "neutron"), ("_v", "xray"))})
+    place = [F.floor((F.col(c) - m[f"low_{c}"]) / ((m[f"high_{c}"] - m[f"low_{c}"]) or 1.0) * (bins - 1e-6)).alias(c) for c in ("neutron", "xray")]
+    points = unit.groupBy(*place).agg(F.avg("_u").alias("u"), F.avg("_v").alias("v"), F.count("*").alias("n")).orderBy("neutron", "xray").toPandas()
+    if len(points) < k:  # almost all pairs in few bins: the most frequent pairs instead
+        points = unit.groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "u", "v").limit(1000).toPandas()
+    at, weights = points[["u", "v"]].to_numpy(), points["n"].to_numpy(float)
+    k = min(k, len(at))
+    starts = [lloyd(at, weights, k, seed=seed + i) for i in range(10)]
+    centres = min(starts, key=lambda c: (((at[:, None] - c[None]) ** 2).sum(-1).min(1) * weights).sum())
+
+    def own(centres: np.ndarray):
+        gaps = [(F.col("_u") - float(u)) ** 2 + (F.col("_v") - float(v)) ** 2 for u, v in centres]
+        return (F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))) - 1).cast("int")
+
+    for _ in range(rounds):
+        new = centres.copy()
+        for r in unit.groupBy(own(centres).alias("j")).agg(F.avg("_u").alias("u"), F.avg("_v").alias("v")).collect():
+            new[r["j"]] = r["u"], r["v"]
+        moved, centres = ((new - centres) ** 2).sum(1).max(), new
+        if moved <= 1e-8:
+            break
+    centres = centres[np.lexsort(centres.T[::-1])]
+    return unit.groupBy("t", own(centres).alias("cluster")).agg(F.count("*").alias("n"), F.avg("neutron").alias("neutron_mean"), F.avg("xray").alias("xray_mean"))

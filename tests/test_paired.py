@@ -315,3 +315,24 @@ def test_kmeans_of_cells_finds_separate_groups(spark):
     cells = spark.createDataFrame(rows, "t int, neutron double, xray double").repartition(3)
     got = sorted((r.t, round(r.neutron_mean / 50), r.n) for r in clusters.cluster_cells(cells, 3).collect())
     assert got == [(t, m, n) for t in (0, 1) for m, n in ((0, 40), (1, 60), (4, 50))]
+
+
+def test_kmeans_of_cells_does_not_depend_on_partitions_and_keeps_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    cells = spark.createDataFrame([(i % 2, float(u), float(v)) for i, (u, v) in enumerate(rng.uniform(0, 1, (4000, 2)))], "t int, neutron double, xray double")
+    got = []
+    for n in (1, 3, 7):
+        spark.catalog.clearCache()
+        kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+        rows = sorted((r.t, r.cluster, r.n, round(r.neutron_mean, 9), round(r.xray_mean, 9)) for r in clusters.cluster_cells(cells.repartition(n), 3).collect())
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+        got.append(rows)
+    assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) == 4000
+
+
+def test_kmeans_of_cells_with_far_ones_or_few_pairs(spark):
+    far = spark.createDataFrame([(0, x, y) for x, y, n in ((0.0, 0.0, 50), (1.0, 0.0, 50), (1e9, 1e9, 2)) for _ in range(n)], "t int, neutron double, xray double")
+    assert sorted(r.n for r in clusters.cluster_cells(far, 3).collect()) == [2, 50, 50]
+    few = spark.createDataFrame([(0, 1.0, 2.0)] * 4 + [(0, 3.0, 2.0)], "t int, neutron double, xray double")
+    assert sorted(r.n for r in clusters.cluster_cells(few, 3).collect()) == [1, 4]
+    assert [r.n for r in clusters.cluster_cells(few.where("neutron = 1"), 3).collect()] == [4]
