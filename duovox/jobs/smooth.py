@@ -108,6 +108,6 @@ def locked_smooth(spark, sf_dir):
 
 @query("auto_smoothing")
 def auto_smoothing(spark, sf_dir):
-    """Every tested strength at every timepoint, with the guards' figures; the choice is tested in pytest."""
+    """Every strength of the whole search at every timepoint, with the guards' figures: up to 8, and doubled while labels still change; the choice is tested in pytest."""
     cells = spatial._table(grid_series(spark, sf_dir))
-    return smoothing.auto_smoothing(cells, BANDS, plane_grid(cells), (0.0, 0.1, 0.3), sweeps=SWEEPS, extensions=0)[2]
+    return smoothing.auto_smoothing(cells, BANDS, plane_grid(cells))[2]

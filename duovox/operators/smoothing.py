@@ -18,6 +18,9 @@ from duovox.operators.spatial import AXES, _table, adjacency, boundary_cost, con
 from duovox.operators.stencils import TILE, tiled
 
 DAMPING = 0.5
+#: Strengths that the automatic search tests at least, and the share of cells below which one more step changes nothing.
+STRENGTHS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
+SETTLED = 0.002
 
 
 def uniform_cost(labels: int) -> np.ndarray:
@@ -216,7 +219,7 @@ def settled_strength(grid: Sequence[float], fine: Sequence[bool], changed: Seque
     return chosen, "top" if any_fine else "refused"
 
 
-def auto_smoothing(cells: DataFrame, regions: list[Region], grid: Grid, strengths: Sequence[float] = (0.0, 0.25, 0.5, 1.0, 2.0), defined_at: int = 0, sweeps: int = 5, method: str = "mean_field", edges: bool = True, share: float = 0.01, least_kept: float = 0.2, least_thin: float = 0.8, most_unclassified: float = 0.5, inert: tuple[int, ...] = (), most_shift: float = 0.05, extensions: int = 2) -> tuple[float, str, DataFrame]:
+def auto_smoothing(cells: DataFrame, regions: list[Region], grid: Grid, strengths: Sequence[float] = STRENGTHS, defined_at: int = 0, sweeps: int = 5, method: str = "mean_field", edges: bool = True, share: float = SETTLED, least_kept: float = 0.2, least_thin: float = 0.8, most_unclassified: float = 0.5, inert: tuple[int, ...] = (), most_shift: float = 0.05, extensions: int = 2) -> tuple[float, str, DataFrame]:
     """The smoothing at which labels settle within the guards, the reason, and t, strength, worst_kept, worst_thin, worst_shift, unclassified, changed, fine of each setting.
 
     All settings share one table of scores and costs. Guards, at every t of cells: what a class keeps, what its thin parts keep, how far inert classes move, and

@@ -204,3 +204,29 @@ def test_locked_mode_with_smoothing(spark):
     assert (4.0 in trace) == (trace[2.0].changed >= 0.002)
     same = smoothing.locked_smooth(cells.where("t = 0"), BANDS, grid, 0.5).where("label != plain").count()
     assert abs(trace[0.5].changed - same / (cells.where("t = 0").count() - 1)) < 1e-12
+
+
+def test_the_query_searches_all_strengths(spark, tmp_path):
+    from duovox.jobs import smooth
+    from duovox.sources.paired import grid_series
+
+    rng = np.random.default_rng(4)
+    events = [(i, float(v), f'{{"k": {k}}}') for i, (v, k) in enumerate(zip(rng.normal(50, 10, 4000).round(3), rng.integers(0, 100, 4000)))]
+    spark.createDataFrame(events, "event_id long, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = {(r.t, r.strength): r for r in smooth.auto_smoothing(spark, str(tmp_path)).collect()}
+    tested = sorted({s for _, s in rows})
+    assert set(rows) == {(t, s) for t in (0, 1) for s in tested}
+    assert tested[:7] == [0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0] and tested[7:] == [16.0, 32.0][: len(tested) - 7]
+    for at in (8.0, 16.0):  # the search goes on while labels change and the guards hold
+        more = max(rows[t, at].changed for t in (0, 1)) >= 0.002 and all(rows[t, at].fine for t in (0, 1))
+        assert (2 * at in tested) == more
+        if not more:
+            break
+    assert 16.0 in tested
+    cells = grid_series(spark, str(tmp_path))
+    labels = [{(r.t, r.z, r.y, r.x): r.label for r in smoothing.locked_smooth(cells, smooth.BANDS, plane_grid(cells), s, sweeps=5).collect()} for s in (0.0, 8.0, 16.0)]
+    for t in (0, 1):
+        plain, was, now = ([label for at, label in sorted(one.items()) if at[0] == t] for one in labels)
+        assert abs(rows[t, 16.0].changed - sum(a != b for a, b in zip(was, now)) / 2000) < 1e-12
+        assert abs(rows[t, 16.0].worst_kept - min(now.count(c) / plain.count(c) for c in (1, 2, 3))) < 1e-12
+        assert abs(rows[t, 16.0].unclassified - now.count(materials.UNCLASSIFIED) / 2000) < 1e-12
